@@ -12,6 +12,7 @@ from folioscope.llm.chat_windows import chat_windows, digest
 from folioscope.llm.common import documents
 from folioscope.llm.hash_ring import hash_ring
 from folioscope.llm.host_rules import MEASURES, host_rules
+from folioscope.llm.jaccard_join import jaccard_join
 from folioscope.llm.lattice_lm import lattice_lm
 from folioscope.llm.license_templates import license_scan
 from folioscope.llm.lpf_dedup import lpf_dedup
@@ -46,6 +47,10 @@ def op3_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf_dedup(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents(spark, sf_dir)).drop("uid")
+
+
 def op5_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
@@ -71,7 +76,7 @@ def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_lm, op2_chat_windows, op3_lpf_dedup, op5_license_templates, op6_string_tiling, op7_host_rules, op9_byte_bpe, op10_hash_ring)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_chat_windows, op3_lpf_dedup, op4_jaccard_join, op5_license_templates, op6_string_tiling, op7_host_rules, op9_byte_bpe, op10_hash_ring)}
 
 
 def oracle_sql() -> dict[str, str]:

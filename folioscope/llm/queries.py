@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.byte_bpe import byte_bpe
+from folioscope.llm.chain_dedup import passages
 from folioscope.llm.chat_windows import chat_windows, digest
 from folioscope.llm.common import documents
 from folioscope.llm.hash_ring import hash_ring
@@ -64,6 +65,10 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *MEASURES, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"), "host_trusted")
 
 
+def op8_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(documents(spark, sf_dir))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,7 +81,7 @@ def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_lm, op2_chat_windows, op3_lpf_dedup, op4_jaccard_join, op5_license_templates, op6_string_tiling, op7_host_rules, op9_byte_bpe, op10_hash_ring)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_chat_windows, op3_lpf_dedup, op4_jaccard_join, op5_license_templates, op6_string_tiling, op7_host_rules, op8_chain_dedup, op9_byte_bpe, op10_hash_ring)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,16 +1,16 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-1. Rows are dealt into blocks by a hash of id and text. A block explodes its texts
-   into pre-tokens with positions and lists its distinct pre-tokens once, dealt into
-   buckets by a hash of the word (one packed cell per block and bucket).
+1. Packs of documents explode their texts into pre-tokens with positions and list
+   their distinct pre-tokens once, dealt into buckets by a hash of the word (one
+   compressed cell per pack and bucket).
 2. A bucket receives all cells of its words, so each distinct word of the corpus is
-   encoded once; the ids go back to the blocks that asked, cell by cell.
-3. A block joins the ids to its words and reassembles every text by position.
+   encoded once; the ids go back to the packs that asked, cell by cell.
+3. A pack joins the ids to its words and reassembles every text by position.
    Decoding joins the ids to the token-byte table.
 
-A word travels once per block however often it occurs, so a word that fills the
-corpus is as cheap as any other. The number of blocks follows
-``spark.sql.shuffle.partitions``; set it so that a block is some tens of MB.
+A word travels once per pack however often it occurs, so a word that fills the
+corpus is as cheap as any other. Packs are made again for step 3 rather than written;
+should a row then fall into another pack, its missing words are encoded there.
 
 Defined results: a null text is empty and has no tokens; a null id is kept; repeated
 rows are encoded each; an empty table gives an empty result; other columns are
@@ -21,20 +21,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import marshal
 from collections.abc import Callable, Iterator
 from functools import cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from folioscope.llm.common import partitions
+from folioscope.llm.packs import CELLS, NO_ID, cells, pack, pack_docs, unpack
 
-CELLS = "block int, bucket int, payload binary"
+PACK_BYTES = 16 << 20
 
 
 @cache
@@ -62,104 +60,106 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return regex.compile(pattern).findall
 
 
-def pack(value) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(marshal.dumps(value))
+def decode(ids: list[int], path: str) -> bytes:
+    return b"".join(map(token_bytes(path).__getitem__, ids))
 
 
-def unpack(payload: bytes):
-    return marshal.loads(zstandard.ZstdDecompressor().decompress(payload))
+class Dictionary(dict):
+    """Ids of words; a word that is not there is encoded."""
 
+    def __init__(self, path: str, pattern: str):
+        self.encode = encoder(path, pattern).encode_ordinary
 
-def encode_words(words: list[str], path: str, pattern: str) -> list[list[int]]:
-    encode = encoder(path, pattern).encode_ordinary
-    return [encode(w) for w in words]
+    def __missing__(self, word: str) -> list[int]:
+        ids = self[word] = self.encode(word)
+        return ids
 
 
-def decode(ids: list[int], path: str) -> bytes:
-    return b"".join(map(token_bytes(path).__getitem__, ids))
+def _dealt(words: set[str], buckets: int) -> dict[int, list[str]]:
+    out: dict[int, list[str]] = {}
+    for w in words:
+        out.setdefault(crc32(w.encode()) % buckets, []).append(w)
+    return {k: sorted(v) for k, v in out.items()}
 
 
-def _texts(table: pa.Table) -> list[str]:
-    return [t or "" for t in table.column("text").to_pylist()]
+def _sum(words: list[str]) -> tuple[int, int]:
+    """Tells one list of words from another."""
+    return len(words), crc32("\0".join(words).encode())
 
 
 def _cells(split_by: str, buckets: int):
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(split_by)
-        words: set[str] = set()
-        for text in _texts(table):
-            words.update(split(text))
-        dealt: dict[int, list[str]] = {}
-        for w in words:
-            dealt.setdefault(crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
-        keys = sorted(dealt)
-        block = table.column("block")[0].as_py() if len(table) else 0
-        return pa.table(
-            {
-                "block": pa.array([block] * len(keys), pa.int32()),
-                "bucket": pa.array(keys, pa.int32()),
-                "payload": pa.array([pack(sorted(dealt[k])) for k in keys], pa.binary()),
-            }
-        )
+        for batch in batches:
+            for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words: set[str] = set()
+                for text in unpack(payload.as_py())[1]:
+                    words.update(split(text.decode()))
+                yield from cells(number, {k: pack(v) for k, v in _dealt(words, buckets).items()}).to_batches()
 
     return run
 
 
 def _encoded(path: str, pattern: str):
     def run(table: pa.Table) -> pa.Table:
-        known: dict[str, list[int]] = {}
-        out = []
+        known, out = Dictionary(path, pattern), []
         for cell in table.column("payload"):
             words = unpack(cell.as_py())
-            new = [w for w in words if w not in known]
-            known.update(zip(new, encode_words(new, path, pattern), strict=True))
             ids = [known[w] for w in words]
             sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-            out.append(pack((words, sizes.tobytes(), flat.tobytes())))
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array(out, pa.binary())})
+            out.append(pack((_sum(words), sizes.tobytes(), flat.tobytes())))
+        return table.select(["pack", "bucket"]).append_column("payload", pa.array(out, pa.binary()))
 
     return run
 
 
-def _reassembled(path: str, pattern: str, with_ids: bool):
-    def run(docs: pa.Table, cells: pa.Table) -> pa.Table:
+def _reassembled(path: str, pattern: str, buckets: int, with_ids: bool):
+    def run(packs: pa.Table, told: pa.Table) -> pa.Table:
         split = splitter(pattern)
-        ids_of: dict[str, list[int]] = {}
-        for cell in cells.column("payload"):
-            words, sizes, flat = unpack(cell.as_py())
-            flat = np.frombuffer(flat, np.uint32).tolist()
-            at = 0
-            for w, n in zip(words, np.frombuffer(sizes, np.uint32).tolist(), strict=True):
-                ids_of[w] = flat[at : at + n]
-                at += n
-        said = {w: " ".join(map(str, ids)) for w, ids in ids_of.items()}
-        raw = {w: decode(ids, path) for w, ids in ids_of.items()}
-        n, sha, back, ids = [], [], [], []
-        for text in _texts(docs):
-            words = split(text)
-            n.append(sum(len(ids_of[w]) for w in words))
-            sha.append(hashlib.sha256(" ".join(map(said.__getitem__, words)).encode()).hexdigest())
-            back.append(hashlib.sha256(b"".join(map(raw.__getitem__, words))).hexdigest())
-            if with_ids:
-                ids.append(np.fromiter((i for w in words for i in ids_of[w]), np.int32, n[-1]))
-        out = {"doc_id": docs.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
-        if with_ids:
-            out["ids"] = pa.array(ids, pa.list_(pa.int32()))
-        return pa.table(out)
+        rows: list[tuple] = []
+        answers = dict(zip(told.column("bucket").to_pylist(), told.column("payload"), strict=True))
+        for payload in packs.column("payload"):
+            ids, texts = unpack(payload.as_py())
+            ids_of = Dictionary(path, pattern)
+            distinct: set[str] = set()
+            for text in texts:
+                distinct.update(split(text.decode()))
+            for k, words in _dealt(distinct, buckets).items():
+                if k in answers:
+                    asked, *arrays = unpack(answers[k].as_py())
+                    if asked == _sum(words):
+                        sizes, flat = (np.frombuffer(x, np.uint32) for x in arrays)
+                        ends, flat = np.cumsum(sizes).tolist(), flat.tolist()
+                        ids_of.update(zip(words, map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            said = {w: " ".join(map(str, ids_of[w])) for w in distinct}
+            raw = {w: decode(ids_of[w], path) for w in distinct}
+            sizes = {w: len(ids_of[w]) for w in distinct}
+            for i, text in zip(ids, texts, strict=True):
+                words = split(text.decode())
+                rows.append(
+                    (
+                        None if i == NO_ID else i,
+                        sum(map(sizes.__getitem__, words)),
+                        hashlib.sha256(" ".join(map(said.__getitem__, words)).encode()).hexdigest(),
+                        hashlib.sha256(b"".join(map(raw.__getitem__, words))).hexdigest(),
+                        np.fromiter((x for w in words for x in ids_of[w]), np.int32) if with_ids else None,
+                    )
+                )
+        names = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
+        return pa.table({n: pa.array([r[j] for r in rows], kind) for j, (n, kind) in enumerate(names.items())})
 
     return run
 
 
-def byte_bpe(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, blocks: int | None = None) -> DataFrame:
+def byte_bpe(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, pack_bytes: int = PACK_BYTES, buckets: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, and the ids themselves if asked for.
 
     ``path`` is a rank file that every executor can open; ``pattern`` splits texts into pre-tokens.
     """
-    n = blocks or partitions(docs.sparkSession)
-    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    cells = rows.groupBy("block").applyInArrow(_cells(pattern, n), CELLS)
-    encoded = cells.groupBy("bucket").applyInArrow(_encoded(path, pattern), CELLS)
+    n = buckets or partitions(docs.sparkSession)
+    packs = pack_docs(docs, pack_bytes, written=False)
+    told = packs.mapInArrow(_cells(pattern, n), CELLS)
+    encoded = told.groupBy("bucket").applyInArrow(_encoded(path, pattern), CELLS)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_reassembled(path, pattern, with_ids), schema)
+    return packs.groupBy("pack").cogroup(encoded.groupBy("pack")).applyInArrow(_reassembled(path, pattern, n, with_ids), schema)

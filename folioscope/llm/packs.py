@@ -38,8 +38,12 @@ def unpack(payload: bytes):
     return marshal.loads(zstandard.ZstdDecompressor().decompress(payload))
 
 
-def pack_docs(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
-    """(pack, payload): payload unpacks to the ids and the UTF-8 texts of some rows; a null text is empty, a null id ``NO_ID``."""
+def pack_docs(docs: DataFrame, pack_bytes: int = PACK_BYTES, written: bool = True) -> DataFrame:
+    """(pack, payload): payload unpacks to the ids and the UTF-8 texts of some rows; a null text is empty, a null id ``NO_ID``.
+
+    Packs that are not written are made again by each use; what rests on them must
+    then hold even if rows fall into other packs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 20
@@ -65,7 +69,8 @@ def pack_docs(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
             yield flush()
 
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(cast(text as string) as binary) as text")
-    return materialise(rows.mapInArrow(run, "pack long, payload binary"), "packs")
+    packs = rows.mapInArrow(run, "pack long, payload binary")
+    return materialise(packs, "packs") if written else packs
 
 
 def cells(pack_number: int, dealt: dict[int, bytes]) -> pa.Table:

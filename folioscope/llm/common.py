@@ -68,14 +68,16 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def words_of(text: Column) -> Column:
     """Array of words; a literal split after one translate, with no regular expression."""
     return F.array_remove(F.split(F.translate(text, OTHER_SPACE, " " * len(OTHER_SPACE)), " "), "")
 
 
+def lower_words_of(text: Column) -> Column:
+    """``words_of`` the lowered text, with one translate for both."""
+    plain = F.translate(text, UPPER + OTHER_SPACE, LOWER + " " * len(OTHER_SPACE))
+    return F.array_remove(F.split(plain, " "), "")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

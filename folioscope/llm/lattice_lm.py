@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import lowered, materialise, text_of, words_of
+from folioscope.llm.common import lower_words_of, materialise, text_of
 
 DISCOUNT = 0.75
 HOT, HOT_CHARS = 1 << 17, 40
@@ -190,7 +190,7 @@ def lattice_lm(docs: DataFrame, path: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     # Words find back to their text by (id, hash of the text): equal rows share a key, and are told apart by their number.
     text = text_of()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), held_out.alias("held_out"), words_of(lowered(text)).alias("words"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), held_out.alias("held_out"), lower_words_of(text).alias("words"))
     used = rows.select("held_out", F.explode("words").alias("word"))
     counts = used.groupBy("word").agg(F.count("*").alias("uses"), F.sum((~F.col("held_out")).cast("long")).alias("c"))
     counts = materialise(counts, "lm-counts")

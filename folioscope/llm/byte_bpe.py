@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from zlib import crc32
 
@@ -75,7 +76,7 @@ class Dictionary(dict):
         return ids
 
 
-def _dealt(words: set[str], buckets: int) -> dict[int, list[str]]:
+def _dealt(words: Iterable[str], buckets: int) -> dict[int, list[str]]:
     out: dict[int, list[str]] = {}
     for w in words:
         out.setdefault(crc32(w.encode()) % buckets, []).append(w)
@@ -121,29 +122,30 @@ def _reassembled(path: str, pattern: str, buckets: int, with_ids: bool):
         answers = dict(zip(told.column("bucket").to_pylist(), told.column("payload"), strict=True))
         for payload in packs.column("payload"):
             ids, texts = unpack(payload.as_py())
-            ids_of = Dictionary(path, pattern)
-            distinct: set[str] = set()
+            number: dict[str, int] = {}
+            places = []  # of each text: the numbers of its words, in order
             for text in texts:
-                distinct.update(split(text.decode()))
-            for k, words in _dealt(distinct, buckets).items():
+                places.append(array("I", [number.setdefault(w, len(number)) for w in split(text.decode())]))
+            ids_of = Dictionary(path, pattern)
+            for k, words in _dealt(number, buckets).items():
                 if k in answers:
                     asked, *arrays = unpack(answers[k].as_py())
                     if asked == _sum(words):
                         sizes, flat = (np.frombuffer(x, np.uint32) for x in arrays)
                         ends, flat = np.cumsum(sizes).tolist(), flat.tolist()
                         ids_of.update(zip(words, map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-            said = {w: " ".join(map(str, ids_of[w])) for w in distinct}
-            raw = {w: decode(ids_of[w], path) for w in distinct}
-            sizes = {w: len(ids_of[w]) for w in distinct}
-            for i, text in zip(ids, texts, strict=True):
-                words = split(text.decode())
+            found = [ids_of[w] for w in number]
+            said = [" ".join(map(str, x)) for x in found]
+            raw = [decode(x, path) for x in found]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            for i, at in zip(ids, places, strict=True):
                 rows.append(
                     (
                         None if i == NO_ID else i,
-                        sum(map(sizes.__getitem__, words)),
-                        hashlib.sha256(" ".join(map(said.__getitem__, words)).encode()).hexdigest(),
-                        hashlib.sha256(b"".join(map(raw.__getitem__, words))).hexdigest(),
-                        np.fromiter((x for w in words for x in ids_of[w]), np.int32) if with_ids else None,
+                        int(sizes[at].sum()) if at else 0,
+                        hashlib.sha256(" ".join(map(said.__getitem__, at)).encode()).hexdigest(),
+                        hashlib.sha256(b"".join(map(raw.__getitem__, at))).hexdigest(),
+                        np.fromiter((x for k in at for x in found[k]), np.int32) if with_ids else None,
                     )
                 )
         names = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})

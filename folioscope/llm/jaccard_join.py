@@ -19,12 +19,13 @@ Signatures go packed to buckets, which report the groups that share one; equal
 memberships are reported once. Groups are never expanded into all pairs:
 
 1. sets that are equal are one class at once;
-2. each member of a group is compared with the best of the groups' first members
-   (that of the most shared signatures), exactly; components follow;
+2. each member of a group is compared with the best of its groups' first members:
+   of those whose sizes and parity sketches (their differing bits are at most the
+   differing tokens) leave 0.8 possible, that of the most shared signatures. The
+   comparison is exact; components follow;
 3. only groups whose members are still in different components give pairs, and only
-   pairs of different components whose sizes and parity sketches (their differing
-   bits are at most the differing tokens) leave 0.8 possible; they are compared
-   exactly, and the components joined. No link between components is lost.
+   pairs of different components that sizes and sketches leave possible; they are
+   compared exactly, and the components joined. No link between components is lost.
 
 Defined results: a null or empty text, or one without words, has the empty set and
 links with nothing; fewer words than five are one shingle; equal rows are one class;
@@ -48,23 +49,51 @@ from folioscope.llm.packs import CELLS, LOW48, NO_ID, ORDINAL_BITS, bucket_of, c
 
 WORDS = 5
 SMALL = 64  # bands up to this size take the one-deletion allocation
-SKETCH_WORDS = 8  # parity sketch of 512 bits
+SKETCH_WORDS = 8  # parity sketches have 512 bits at least
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(words: list[bytes], hashed: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; ``hashed`` keeps the hashes of words."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    for w in words:
-        if w not in hashed:
-            hashed[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words))
-    size = min(WORDS, len(h))
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _combine(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of each ``size`` neighbours."""
     out = np.full(len(h) - size + 1, np.uint64(size))
     for j in range(size):
-        out = mix(out * _B + h[j : len(h) - size + 1 + j])
-    return np.unique(out)
+        out = out * _B + h[j : len(h) - size + 1 + j]
+    return mix(out)
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; all texts are hashed and sorted together."""
+    known = _Hashes().__getitem__
+    parts = []
+    for t in texts:
+        words = t.translate(WORD_BYTES).split()
+        parts.append(np.fromiter(map(known, words), np.uint64, len(words)))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(parts)
+    for i in np.flatnonzero((sizes > 0) & (sizes < WORDS)).tolist():
+        out[i] = _combine(parts[i], len(parts[i]))
+    long = np.flatnonzero(sizes >= WORDS)
+    if len(long):
+        flat = np.concatenate([parts[i] for i in long])
+        del parts
+        owner = np.repeat(np.arange(len(long), dtype=np.int32), sizes[long])
+        grams = np.concatenate([_combine(flat[k : k + (1 << 16) + WORDS - 1], WORDS) for k in range(0, len(flat) - WORDS + 1, 1 << 16)])
+        inside = owner[: len(grams)] == owner[WORDS - 1 :]
+        grams, owner = grams[inside], owner[: len(inside)][inside]
+        order = np.lexsort((grams, owner))
+        grams, owner = grams[order], owner[order]
+        new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])])
+        grams, owner = grams[new], owner[new]
+        cuts = np.searchsorted(owner, np.arange(1, len(long)))
+        for i, part in zip(long.tolist(), np.split(grams, cuts), strict=True):
+            out[i] = part
+    return out
 
 
 @cache
@@ -130,22 +159,37 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    bits = np.bincount((tokens & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    """Parity of the tokens by their low bits, as many bits as tokens or more: folding halves gives a shorter sketch."""
+    size = max(64 * SKETCH_WORDS, 1 << (len(tokens) - 1).bit_length() if len(tokens) else 0)
+    bits = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def fold(sketch_bytes: bytes, size: int) -> np.ndarray:
+    bits = np.frombuffer(sketch_bytes, np.uint64)
+    while len(bits) * 8 > size:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
+def possible(n: int, sketch_n: bytes, m: int, sketch_m: bytes) -> bool:
+    """Whether sizes and sketches leave a similarity of 0.8: their differing bits are at most the differing tokens."""
+    if 4 * max(n, m) > 5 * min(n, m):
+        return False
+    size = min(len(sketch_n), len(sketch_m))
+    return 9 * int(np.bitwise_count(fold(sketch_n, size) ^ fold(sketch_m, size)).sum()) <= n + m
+
+
 class Sets:
-    """The distinct sets of a pack, with the first row that has each."""
+    """The set of each row of a pack; equal texts share one."""
 
     def __init__(self, payload: bytes):
         self.ids, texts = unpack(payload)
-        hashed: dict[bytes, int] = {}
-        seen: dict[bytes, np.ndarray] = {}
-        self.sets: list[np.ndarray] = []
-        for t in texts:
-            if t not in seen:
-                seen[t] = shingle_set(t.translate(WORD_BYTES).split(), hashed)
-            self.sets.append(seen[t])
+        at: dict[bytes, int] = {}
+        unit = [at.setdefault(t, len(at)) for t in texts]
+        found = shingle_sets(list(at))
+        self.sets = [found[u] for u in unit]
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +310,7 @@ def _linked(packs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    pairs = materialise(pairs, "jaccard-pairs")
+    pairs = materialise(pairs, "jaccard-pairs")  # read three times
     uids = pairs.select(F.explode(F.array("a", "b")).alias("uid"))
     sets = materialise(_fetch(packs, uids), "jaccard-sets")
     a = sets.select(F.col("uid").alias("a"), F.col("tokens").alias("x"))
@@ -275,18 +319,26 @@ def _linked(packs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(whole.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
+def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")), strict=True)
+        yield batch.filter(pa.array([possible(*r) for r in rows], pa.bool_())).select(["uid", "head", "w"])
+
+
 def _left_pairs(table: pa.Table) -> pa.Table:
     """Pairs of different components in one group that size and sketch leave possible."""
     uid, root, n = (table.column(c).to_numpy() for c in ("uid", "root", "n"))
-    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(uid), SKETCH_WORDS)
+    sketches = table.column("sketch").to_pylist()
+    bits = np.stack([fold(x, 8 * SKETCH_WORDS) for x in sketches])
     order = np.argsort(n, kind="stable")
-    uid, root, n, bits = uid[order], root[order], n[order], bits[order]
+    uid, root, n, bits, sketches = uid[order], root[order], n[order], bits[order], [sketches[i] for i in order]
     found_a, found_b = [], []
     for i in range(len(uid) - 1):
         end = np.searchsorted(n, n[i] * 5 // 4, "right")
         rest = slice(i + 1, end)
         apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1).astype(np.int64)
         hit = np.flatnonzero((root[rest] != root[i]) & (9 * apart <= n[rest] + n[i])) + i + 1
+        hit = np.array([j for j in hit.tolist() if possible(n[i], sketches[i], n[j], sketches[j])], np.int64)
         found_a.append(np.minimum(uid[hit], uid[i]))
         found_b.append(np.maximum(uid[hit], uid[i]))
     return pa.table({"a": pa.array(np.concatenate([*found_a, np.zeros(0, np.int64)]), pa.int64()), "b": pa.array(np.concatenate([*found_b, np.zeros(0, np.int64)]), pa.int64())})
@@ -311,15 +363,18 @@ def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     # Best first member of each row.
     heads = members.groupBy("gid").agg(F.min("uid").alias("head"))
     star = members.join(heads, "gid").where("uid != head").groupBy("uid", "head").agg(F.sum("weight").alias("w"))
+    a, b = (profile.select(F.col("uid").alias(k), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for k, x in (("uid", "a"), ("head", "b")))
+    star = star.join(a, "uid").join(b, "head").select("uid", "head", "w", "na", "sa", "nb", "sb").mapInArrow(_possible_pairs, "uid long, head long, w long")
     best = star.groupBy("uid").agg(F.max(F.struct("w", -F.col("head"))).alias("m"))
-    links = _linked(packs, best.select((-F.col("m.col2")).alias("a"), F.col("uid").alias("b")))
+    best = materialise(best.select((-F.col("m.col2")).alias("a"), F.col("uid").alias("b")), "jaccard-best")
+    links = _linked(packs, best)
     roots = components(links)
 
     # What is still apart inside a group.
     told = members.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("gid", "uid", F.coalesce("root", "uid").alias("root"))
     mixed = told.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gid")
     apart = told.join(mixed, "gid", "left_semi").join(profile.select("uid", "n", "sketch"), "uid")
-    pairs = apart.groupBy("gid").applyInArrow(_left_pairs, "a long, b long").distinct().join(best.select((-F.col("m.col2")).alias("a"), F.col("uid").alias("b")), ["a", "b"], "left_anti")
+    pairs = apart.groupBy("gid").applyInArrow(_left_pairs, "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
     links = materialise(links.unionByName(_linked(packs, pairs)), "jaccard-all-links")
     roots = components(links.unionByName(equal))
 

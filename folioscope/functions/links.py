@@ -52,36 +52,41 @@ def _rooted(path: Column) -> Column:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value written once: nested uses would copy its whole expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def target_of(href: Column, lenient: bool = False) -> Column:
     """The file an address means, whether or not it exists; null if it can mean none.
 
     A leading slash stands for ``wiki/``. Other addresses must begin with a known
     root, or with nothing at all in lenient use (search), where ``wiki/`` is meant.
     """
-    anchored = normal_path(F.concat(F.lit("wiki"), href))
-    plain = normal_path(href)
-    free = F.when(_rooted(plain), plain)
-    if lenient:
-        free = F.when(plain.startswith("wiki/"), plain).otherwise(F.concat(F.lit("wiki/"), plain))
-    out = F.when(href.startswith("/"), anchored).when((plain == "..") | plain.startswith("../"), F.lit(None)).otherwise(free)
-    return F.when(_rooted(out), out)
+    full = F.when(href.startswith("/"), F.concat(F.lit("wiki"), href)).otherwise(href)
+
+    def judged(p: Column) -> Column:
+        outside = (p == "..") | p.startswith("../") | (p == "")
+        if lenient:
+            return F.when(outside, F.lit(None)).when(p.startswith("wiki/"), p).otherwise(F.concat(F.lit("wiki/"), p))
+        return F.when(~outside & _rooted(p), p)
+
+    # An anchored address that climbs out of ``wiki/`` means nothing, under either reading.
+    climbs = href.startswith("/") & href.contains("..")
+    return _let(normal_path(full), lambda p: F.when(~climbs | p.startswith("wiki/"), judged(p)))
 
 
 def suggestion(href: Column) -> Column:
     """The address with ``wiki/`` before it, where only this is missing."""
-    plain = normal_path(href)
-    bad = plain.isin("", ".", "..") | plain.startswith("../") | _rooted(plain) | href.startswith("/")
-    return F.when(~bad, F.concat(F.lit("wiki/"), plain))
+    bad = lambda p: p.isin("", ".", "..") | p.startswith("../") | _rooted(p) | href.startswith("/")
+    return _let(normal_path(href), lambda p: F.when(~bad(p), F.concat(F.lit("wiki/"), p)))
 
 
 def link_class(href: Column) -> Column:
-    plain = normal_path(href)
-    return (
-        F.when(href.startswith("/"), "anchored")
-        .when((plain == "..") | plain.startswith("../"), "parent")
-        .when(_rooted(plain), "rooted")
-        .otherwise("bare")
-    )
+    def judged(p: Column) -> Column:
+        return F.when(href.startswith("/"), "anchored").when((p == "..") | p.startswith("../"), "parent").when(_rooted(p), "rooted").otherwise("bare")
+
+    return _let(normal_path(href), judged)
 
 
 def malformed(text: Column) -> Column:

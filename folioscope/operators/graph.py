@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,17 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("s").alias("a"), F.col("t").alias("b")).unionByName(edges.select(F.col("t").alias("a"), F.col("s").alias("b"))).where("a != b").distinct()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The frame written to the shared checkpoint folder where one is set, so that a loop's plan does not hold it many times over."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/folioscope-graph/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def khop(edges: DataFrame, seeds: DataFrame, depth: int, through: DataFrame | None = None) -> DataFrame:
     """(page_id, dist) within ``depth`` steps of the seeds, either way.
 
@@ -87,7 +100,7 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int, through: DataFrame | No
     least distance; a step never looks back, so the plan is a chain and runs as one job.
     ``through`` limits the pages that are expanded further.
     """
-    steps = undirected(edges)
+    steps = kept(undirected(edges))
     found = frontier = seeds.select("page_id", F.lit(0).alias("dist")).distinct()
     for n in range(depth):
         at = frontier if through is None else frontier.join(through.select("page_id"), "page_id", "left_semi")

@@ -40,7 +40,7 @@ def depth_of(age: Column) -> Column:
 def recency_score(updated: Column, now: Column) -> Column:
     """1 / (1 + days / 30), days not below zero; 0 where nothing is known."""
     days = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(updated)) / 86_400e6)
-    return F.coalesce(1 / (1 + days / 30), F.lit(0.0))
+    return F.when(updated.isNotNull(), 1 / (1 + days / 30)).otherwise(0.0)
 
 
 def log_entries(logs: DataFrame) -> DataFrame:

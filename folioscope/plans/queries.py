@@ -52,8 +52,9 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = parsed(spark, sf_dir)
-    return p, G.knowledge_graph(p)
+    """Parsed pages and edges, both kept: the steps of a graph query read them many times."""
+    p = parsed(spark, sf_dir).persist()
+    return p, G.knowledge_graph(p).persist()
 
 
 def seed_pages(spark: SparkSession) -> DataFrame:
@@ -158,22 +159,22 @@ def human_bytes(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").where(n < 1 << 20).select("doc_id", T.human_bytes(n).alias("size"))
 
 
-_DOCS = "docs AS (SELECT 'wiki/documents/' || doc_id || '.md' AS page_id, 'Document ' || doc_id AS title, source AS kind, lang, text FROM documents)"
+_DOCS = "docs AS MATERIALIZED (SELECT 'wiki/documents/' || doc_id || '.md' AS page_id, 'Document ' || doc_id AS title, source AS kind, lang, text FROM documents)"
 
 
-@query(f"WITH {_DOCS}, t AS ({O.tokens('docs', 'text')}) SELECT page_id, token, count(*) AS tf FROM t GROUP BY 1, 2")
+@query(f"WITH {_DOCS}, t AS MATERIALIZED ({O.tokens('docs', 'text')}) SELECT page_id, token, count(*) AS tf FROM t GROUP BY 1, 2")
 def token_counts(spark, sf_dir):
     return P.token_counts(A.doc_pages(spark, sf_dir))
 
 
 @query(f"""WITH {O.LINES}, m AS (SELECT *, line LIKE '#%' AND NOT line = '# not a heading' AS is_head, regexp_extract(line, '^#+ (.*)$', 1) AS head, length(regexp_extract(line, '^(#+) ', 1)) AS lvl,
   sum(CASE WHEN line = '---' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY line_no) AS f FROM lines),
- b AS (SELECT * FROM m WHERE f >= 2 AND line <> '---'), n AS (SELECT *, sum(CASE WHEN is_head THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY line_no) AS sec FROM b),
- s AS (SELECT page_id, sec, max(CASE WHEN is_head THEN head END) AS heading, max(CASE WHEN is_head THEN lvl END) AS lvl, min(line_no) AS start_line,
+ b AS MATERIALIZED (SELECT * FROM m WHERE f >= 2 AND line <> '---'), n AS MATERIALIZED (SELECT *, sum(CASE WHEN is_head THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY line_no) AS sec FROM b),
+ s AS MATERIALIZED (SELECT page_id, sec, max(CASE WHEN is_head THEN head END) AS heading, max(CASE WHEN is_head THEN lvl END) AS lvl, min(line_no) AS start_line,
   trim(string_agg(line, chr(10) ORDER BY line_no), chr(10) || ' ') AS body FROM n GROUP BY 1, 2),
- h AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY sec) - 1 AS ordinal,
+ h AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY sec) - 1 AS ordinal,
   last_value(CASE WHEN lvl = 1 THEN heading END IGNORE NULLS) OVER w AS h1, last_value(CASE WHEN lvl = 2 THEN heading END IGNORE NULLS) OVER w AS h2 FROM s WHERE body <> '' WINDOW w AS (PARTITION BY page_id ORDER BY sec)),
- p AS (SELECT *, CASE lvl WHEN 1 THEN heading WHEN 2 THEN h1 || ' / ' || heading ELSE h1 || ' / ' || h2 || ' / ' || heading END AS heading_path FROM h)
+ p AS MATERIALIZED (SELECT *, CASE lvl WHEN 1 THEN heading WHEN 2 THEN h1 || ' / ' || heading ELSE h1 || ' / ' || h2 || ' / ' || heading END AS heading_path FROM h)
  SELECT 'chunk:' || substr(sha256(page_id || chr(0) || heading_path || chr(0) || ordinal || chr(0) || body), 1, 32) AS chunk_id, page_id, CAST(ordinal AS INT) AS ordinal, heading, heading_path,
   CAST(ceil(length(body) / 4.0) AS BIGINT) AS token_count, CAST(start_line AS INT) AS start_line, CAST(start_line + length(body) - length(replace(body, chr(10), '')) AS INT) AS end_line FROM p""")
 def chunks(spark, sf_dir):
@@ -199,7 +200,7 @@ def extract_links(spark, sf_dir):
     return G.extract_links(star(spark, sf_dir)).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {O.LINES}, f AS (SELECT page_id, line_no, unnest(regexp_extract_all(line, '\\]\\(<?([^()<>\\s#]+\\.md)(#top)?>?\\)', 1)) AS href FROM lines)
+@query(f"""WITH {O.LINES}, f AS MATERIALIZED (SELECT page_id, line_no, unnest(regexp_extract_all(line, '\\]\\(<?([^()<>\\s#]+\\.md)(#top)?>?\\)', 1)) AS href FROM lines)
  SELECT page_id, CAST(line_no AS BIGINT) AS line_no, href FROM f WHERE href NOT LIKE 'http%'""")
 def links_with_lines(spark, sf_dir):
     return G.links_with_lines(star(spark, sf_dir)).select("page_id", F.col("line_no").cast("long").alias("line_no"), "href")
@@ -334,8 +335,8 @@ def ego_graph(spark, sf_dir):
 
 
 _SEED_ROWS = " UNION ALL ".join(f"SELECT '{s}' AS page_id" for s in SEEDS)
-_HOPS = f"""{O.GRAPH}, {O.BOTH}, h0 AS ({_SEED_ROWS}), h1 AS (SELECT DISTINCT b AS page_id FROM both_ways JOIN h0 ON a = page_id), h2 AS (SELECT DISTINCT b AS page_id FROM both_ways JOIN h1 ON a = page_id),
- near AS (SELECT page_id, CAST(min(d) AS INT) AS dist FROM (SELECT page_id, 0 AS d FROM h0 UNION ALL SELECT page_id, 1 FROM h1 UNION ALL SELECT page_id, 2 FROM h2) GROUP BY 1)"""
+_HOPS = f"""{O.GRAPH}, {O.BOTH}, h0 AS MATERIALIZED ({_SEED_ROWS}), h1 AS MATERIALIZED (SELECT DISTINCT b AS page_id FROM both_ways JOIN h0 ON a = page_id), h2 AS MATERIALIZED (SELECT DISTINCT b AS page_id FROM both_ways JOIN h1 ON a = page_id),
+ near AS MATERIALIZED (SELECT page_id, CAST(min(d) AS INT) AS dist FROM (SELECT page_id, 0 AS d FROM h0 UNION ALL SELECT page_id, 1 FROM h1 UNION ALL SELECT page_id, 2 FROM h2) GROUP BY 1)"""
 
 
 @query(f"WITH {_HOPS} SELECT page_id, dist FROM near")
@@ -355,8 +356,8 @@ def induced_edges(spark, sf_dir):
 
 
 _ENQUEUED = "wiki/index.md"
-_ROUND = f"""{_HOPS}, scope AS (SELECT page_id FROM near WHERE dist <= 1), pair AS (SELECT DISTINCT a, b FROM both_ways WHERE a < b AND a IN (SELECT * FROM scope) AND b IN (SELECT * FROM scope)),
- fresh AS (SELECT a, b FROM pair WHERE (a IN (SELECT * FROM h0) OR b IN (SELECT * FROM h0)) AND NOT (a = '{_ENQUEUED}' OR b = '{_ENQUEUED}'))"""
+_ROUND = f"""{_HOPS}, scope AS MATERIALIZED (SELECT page_id FROM near WHERE dist <= 1), pair AS MATERIALIZED (SELECT DISTINCT a, b FROM both_ways WHERE a < b AND a IN (SELECT * FROM scope) AND b IN (SELECT * FROM scope)),
+ fresh AS MATERIALIZED (SELECT a, b FROM pair WHERE (a IN (SELECT * FROM h0) OR b IN (SELECT * FROM h0)) AND NOT (a = '{_ENQUEUED}' OR b = '{_ENQUEUED}'))"""
 
 
 @query(f"WITH {_ROUND} SELECT page_id, 'page' AS role FROM h0 UNION SELECT a, 'page' FROM fresh UNION SELECT b, 'page' FROM fresh UNION ALL SELECT a || ' ' || b, 'edge' FROM fresh")
@@ -410,7 +411,7 @@ def graph_stats(spark, sf_dir):
     return Q.graph_stats(p, e)
 
 
-@query(f"""WITH {O.STAR}, p AS (SELECT string_split(page_id, '/') AS a FROM star), x AS (SELECT a, unnest(generate_series(1, len(a))) AS d FROM p)
+@query(f"""WITH {O.STAR}, p AS MATERIALIZED (SELECT string_split(page_id, '/') AS a FROM star), x AS MATERIALIZED (SELECT a, unnest(generate_series(1, len(a))) AS d FROM p)
  SELECT DISTINCT array_to_string(a[1:d], '/') AS path, CASE WHEN d > 1 THEN array_to_string(a[1:d-1], '/') ELSE '' END AS parent, a[d] AS name, CAST(d AS INT) AS depth, d < len(a) AS is_dir FROM x""")
 def path_tree(spark, sf_dir):
     return G.path_tree(star(spark, sf_dir).select(F.col("page_id").alias("path")))
@@ -434,7 +435,7 @@ def scale_guard(spark, sf_dir):
 
 # --- links of web pages ------------------------------------------------------
 
-_HREFS = "h AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages)"
+_HREFS = "h AS MATERIALIZED (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages)"
 
 
 @query(f"WITH {_HREFS} SELECT href, count(*) AS n, count(DISTINCT page_id) AS pages FROM h GROUP BY 1 HAVING count(*) >= 3")
@@ -452,35 +453,39 @@ def ranked_pages(spark, sf_dir):
     return p.join(P.summaries(p.select("page_id", "body")), "page_id").withColumn("summary", F.when(F.col("page_id") == "wiki/index.md", "- plain entry").otherwise(F.col("summary"))), e
 
 
+DOC_WORDS = "license that was"
 _QUERY = [w for w in dict.fromkeys(WORDS.split()) if w not in T.STOPWORDS]
-_ASKED = "(" + " UNION ALL ".join(f"SELECT '{w}' AS token" for w in _QUERY) + ")"
 
 
-def _bags(source: str, title: str, tags: str, summary: str, body: str) -> str:
+def _asked(words: list[str]) -> str:
+    return "(" + " UNION ALL ".join(f"SELECT '{w}' AS token" for w in words) + ")"
+
+
+def _bags(source: str, title: str, tags: str, summary: str, body: str, words: list[str] = _QUERY) -> str:
     """CTEs: tokens with their count and fields, points of the question, norms."""
     every = f"{title} || chr(10) || {tags} || chr(10) || {summary} || chr(10) || {body}"
-    return f"""tok AS ({O.tokens(source, every)}), tf AS (SELECT page_id, token, count(*) AS tf FROM tok GROUP BY 1, 2), norm AS (SELECT page_id, sqrt(greatest(count(*), 1)) AS norm FROM tok GROUP BY 1),
- ti AS (SELECT DISTINCT * FROM ({O.tokens(source, title)})), tg AS (SELECT DISTINCT * FROM ({O.tokens(source, tags)})), su AS (SELECT DISTINCT * FROM ({O.tokens(source, summary)})),
- pts AS (SELECT page_id, sum(CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM ti) THEN 300 ELSE 0 END + CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM tg) THEN 220 ELSE 0 END
-  + CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM su) THEN 150 ELSE 0 END + least(250, 25 * tf)) AS p FROM tf JOIN {_ASKED} q USING (token) GROUP BY 1),
- lex AS (SELECT page_id, 8 * (CAST(p AS DOUBLE) / 100) / norm AS lexical FROM pts JOIN norm USING (page_id))"""
+    return f"""tok AS MATERIALIZED ({O.tokens(source, every)}), tf AS MATERIALIZED (SELECT page_id, token, count(*) AS tf FROM tok GROUP BY 1, 2), norm AS MATERIALIZED (SELECT page_id, sqrt(greatest(count(*), 1)) AS norm FROM tok GROUP BY 1),
+ ti AS MATERIALIZED (SELECT DISTINCT * FROM ({O.tokens(source, title)})), tg AS MATERIALIZED (SELECT DISTINCT * FROM ({O.tokens(source, tags)})), su AS MATERIALIZED (SELECT DISTINCT * FROM ({O.tokens(source, summary)})),
+ pts AS MATERIALIZED (SELECT page_id, sum(CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM ti) THEN 300 ELSE 0 END + CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM tg) THEN 220 ELSE 0 END
+  + CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM su) THEN 150 ELSE 0 END + least(250, 25 * tf)) AS p FROM tf JOIN {_asked(words)} q USING (token) GROUP BY 1),
+ lex AS MATERIALIZED (SELECT page_id, 8 * (CAST(p AS DOUBLE) / 100) / norm AS lexical FROM pts JOIN norm USING (page_id))"""
 
 
-@query(f"WITH {_DOCS}, {_bags('docs', 'title', 'lang', chr(39) * 2, 'text')} SELECT page_id, round(lexical, 6) AS lexical FROM lex")
+@query(f"WITH {_DOCS}, {_bags('docs', 'title', 'lang', chr(39) * 2, 'text', DOC_WORDS.split())} SELECT page_id, round(lexical, 6) AS lexical FROM lex")
 def lexical_rank(spark, sf_dir):
     p = A.doc_pages(spark, sf_dir)
-    return R.lexical(R.token_bags(p), R.query_tokens(spark, WORDS)).select("page_id", F.round("lexical", 6).alias("lexical"))
+    return R.lexical(R.token_bags(p), R.query_tokens(spark, DOC_WORDS)).select("page_id", F.round("lexical", 6).alias("lexical"))
 
 
-_SEEN = "kept AS (SELECT * FROM star WHERE page_id <> 'wiki/index.md')"
-_KHOP1 = f"""h0 AS ({_SEED_ROWS}), h1 AS (SELECT DISTINCT b AS page_id FROM both_ways JOIN h0 ON a = page_id), near AS (SELECT page_id, min(d) AS dist FROM (SELECT page_id, 0 AS d FROM h0 UNION ALL SELECT page_id, 1 FROM h1) GROUP BY 1),
- rel AS (SELECT page_id, CASE WHEN dist = 0 THEN CAST(1.25 AS DOUBLE) ELSE 1 / (dist + CAST(0.35 AS DOUBLE)) END AS rel FROM near)"""
-_RECENT = "rec AS (SELECT page_id, coalesce(1 / (1 + date_diff('day', CAST(updated AS TIMESTAMP), TIMESTAMP '2024-03-01') / CAST(30 AS DOUBLE)), 0) AS recency FROM star)"
+_SEEN = "kept AS MATERIALIZED (SELECT * FROM star WHERE page_id <> 'wiki/index.md')"
+_KHOP1 = f"""h0 AS MATERIALIZED ({_SEED_ROWS}), h1 AS MATERIALIZED (SELECT DISTINCT b AS page_id FROM both_ways JOIN h0 ON a = page_id), near AS MATERIALIZED (SELECT page_id, min(d) AS dist FROM (SELECT page_id, 0 AS d FROM h0 UNION ALL SELECT page_id, 1 FROM h1) GROUP BY 1),
+ rel AS MATERIALIZED (SELECT page_id, CASE WHEN dist = 0 THEN CAST(1.25 AS DOUBLE) ELSE 1 / (dist + CAST(0.35 AS DOUBLE)) END AS rel FROM near)"""
+_RECENT = "rec AS MATERIALIZED (SELECT page_id, coalesce(1 / (1 + date_diff('day', CAST(updated AS TIMESTAMP), TIMESTAMP '2024-03-01') / CAST(30 AS DOUBLE)), 0) AS recency FROM star)"
 
 
 @query(f"""WITH {O.GRAPH}, {O.BOTH}, {O.DEGREES}, {_SEEN}, {_bags('kept', 'title', "replace(tags, ',', ' ')", 'summary', 'body')}, {_KHOP1}, {_RECENT},
- r AS (SELECT page_id, coalesce(lexical, 0) AS lexical, coalesce(rel, 0) AS rel, CAST(inbound + outbound AS DOUBLE) AS degree, recency FROM kept LEFT JOIN lex USING (page_id) LEFT JOIN rel USING (page_id) JOIN deg USING (page_id) JOIN rec USING (page_id)),
- f AS (SELECT * FROM r WHERE lexical > 0 OR rel > 0), g AS (SELECT *, degree / (SELECT max(degree) FROM f) AS centrality FROM f)
+ r AS MATERIALIZED (SELECT page_id, coalesce(lexical, 0) AS lexical, coalesce(rel, 0) AS rel, CAST(inbound + outbound AS DOUBLE) AS degree, recency FROM kept LEFT JOIN lex USING (page_id) LEFT JOIN rel USING (page_id) JOIN deg USING (page_id) JOIN rec USING (page_id)),
+ f AS MATERIALIZED (SELECT * FROM r WHERE lexical > 0 OR rel > 0), g AS MATERIALIZED (SELECT *, degree / (SELECT max(degree) FROM f) AS centrality FROM f)
  SELECT page_id, round(lexical, 6) AS lexical, round(rel, 6) AS rel, round(centrality, 6) AS centrality, round(recency, 6) AS recency, round(2.0 * lexical + 1.5 * rel + 0.4 * centrality + 0.3 * recency, 6) AS score FROM g""")
 def hybrid_rank(spark, sf_dir):
     p, e = ranked_pages(spark, sf_dir)
@@ -488,14 +493,14 @@ def hybrid_rank(spark, sf_dir):
     return out.select("page_id", *[F.round(c, 6).alias(c) for c in ("lexical", "rel", "centrality", "recency", "score")])
 
 
-@query(f"""WITH {O.GRAPH}, {O.DEGREES}, {_RECENT}, g AS (SELECT page_id, CAST(inbound + outbound AS DOUBLE) AS degree, recency FROM deg JOIN rec USING (page_id))
+@query(f"""WITH {O.GRAPH}, {O.DEGREES}, {_RECENT}, g AS MATERIALIZED (SELECT page_id, CAST(inbound + outbound AS DOUBLE) AS degree, recency FROM deg JOIN rec USING (page_id))
  SELECT page_id, round(0.8 * degree / (SELECT max(degree) FROM g) + 0.4 * recency, 6) AS score FROM g""")
 def browse_rank(spark, sf_dir):
     p, e = ranked_pages(spark, sf_dir)
     return R.rank(p, e, now=NOW, limit=1 << 30).select("page_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {O.GRAPH}, {O.DEGREES}, {_RECENT}, g AS (SELECT page_id, CAST(inbound + outbound AS DOUBLE) AS degree, recency FROM deg JOIN rec USING (page_id) JOIN star USING (page_id) WHERE CAST(updated AS TIMESTAMP) >= TIMESTAMP '2024-02-10' AND kind IN ('supplier', 'customer'))
+@query(f"""WITH {O.GRAPH}, {O.DEGREES}, {_RECENT}, g AS MATERIALIZED (SELECT page_id, CAST(inbound + outbound AS DOUBLE) AS degree, recency FROM deg JOIN rec USING (page_id) JOIN star USING (page_id) WHERE CAST(updated AS TIMESTAMP) >= TIMESTAMP '2024-02-10' AND kind IN ('supplier', 'customer'))
  SELECT page_id, round(1.2 * recency + 0.4 * degree / (SELECT max(degree) FROM g), 6) AS score FROM g""")
 def window_rank(spark, sf_dir):
     p, e = ranked_pages(spark, sf_dir)
@@ -528,7 +533,7 @@ def interest_rank(spark, sf_dir):
     return R.interest(R.token_bags(p), interest_terms(spark, sf_dir)).select("page_id", F.round("interest", 6).alias("interest"))
 
 
-@query(f"""WITH {_DOCS}, t AS ({O.tokens('docs', 'text')}) SELECT page_id, count(DISTINCT page_id) AS hits FROM t WHERE token IN ('license', 'tionre', 'stock') GROUP BY 1""")
+@query(f"""WITH {_DOCS}, t AS MATERIALIZED ({O.tokens('docs', 'text')}) SELECT page_id, count(DISTINCT page_id) AS hits FROM t WHERE token IN ('license', 'tionre', 'stock') GROUP BY 1""")
 def fts_hits(spark, sf_dir):
     p = A.doc_pages(spark, sf_dir)
     chunk = p.select("page_id", F.concat(F.lit("chunk:"), "page_id").alias("chunk_id"), F.lit("").alias("heading"), "body")
@@ -549,8 +554,8 @@ def seed_lookup(spark, sf_dir):
 # --- time --------------------------------------------------------------------
 
 _AGE = f"date_diff('day', CAST(ts AS DATE), DATE '{ANCHOR}')"
-_EVENTS = f"""e AS (SELECT event_id, CAST(ts AS DATE) AS date, strftime(ts, '%H:%M') AS time, event_type AS op, 'wiki/users/u' || (user_id % 50) || '.md' AS page_id, {_AGE} AS age FROM events),
- b AS (SELECT *, CASE WHEN age BETWEEN 0 AND 20 THEN 'r' || (age // 3) WHEN age BETWEEN 21 AND 23 THEN 'floating' END AS bucket, greatest(CAST(0.1 AS DOUBLE), round(1 - age * CAST(0.92 AS DOUBLE) / 24, 2)) AS depth FROM e)"""
+_EVENTS = f"""e AS MATERIALIZED (SELECT event_id, CAST(ts AS DATE) AS date, strftime(ts, '%H:%M') AS time, event_type AS op, 'wiki/users/u' || (user_id % 50) || '.md' AS page_id, {_AGE} AS age FROM events),
+ b AS MATERIALIZED (SELECT *, CASE WHEN age BETWEEN 0 AND 20 THEN 'r' || (age // 3) WHEN age BETWEEN 21 AND 23 THEN 'floating' END AS bucket, greatest(CAST(0.1 AS DOUBLE), round(1 - age * CAST(0.92 AS DOUBLE) / 24, 2)) AS depth FROM e)"""
 
 
 def recent(spark, sf_dir):
@@ -573,7 +578,7 @@ def recent_edges(spark, sf_dir):
     return C.recent_edges(recent(spark, sf_dir))
 
 
-@query(f"""WITH {_EVENTS}, x AS (SELECT DISTINCT page_id, bucket FROM b WHERE bucket IS NOT NULL) SELECT page_id, min(CASE WHEN bucket = 'floating' THEN 'zfloating' ELSE bucket END) AS primary_bucket,
+@query(f"""WITH {_EVENTS}, x AS MATERIALIZED (SELECT DISTINCT page_id, bucket FROM b WHERE bucket IS NOT NULL) SELECT page_id, min(CASE WHEN bucket = 'floating' THEN 'zfloating' ELSE bucket END) AS primary_bucket,
  string_agg(bucket, ',' ORDER BY CASE WHEN bucket = 'floating' THEN 'z' ELSE bucket END) AS buckets, max(d) AS d FROM x JOIN (SELECT page_id, max(depth) AS d FROM b WHERE bucket IS NOT NULL GROUP BY 1) USING (page_id) GROUP BY 1""")
 def recent_pages(spark, sf_dir):
     return C.recent_pages(recent(spark, sf_dir)).select("page_id", F.when(F.col("primary_bucket") == "floating", "zfloating").otherwise(F.col("primary_bucket")).alias("primary_bucket"), *text_of("buckets"), "d")
@@ -628,12 +633,12 @@ def git_fallback(spark, sf_dir):
 
 # --- feedback ----------------------------------------------------------------
 
-_AUDITS = """a AS (SELECT event_id, ts, 'wiki/users/u' || (user_id % 50) || '.md' AS target, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warn' WHEN 2 THEN 'suggest' ELSE 'info' END AS type,
+_AUDITS = """a AS MATERIALIZED (SELECT event_id, ts, 'wiki/users/u' || (user_id % 50) || '.md' AS target, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warn' WHEN 2 THEN 'suggest' ELSE 'info' END AS type,
   CASE WHEN event_id % 3 <> 0 THEN 'open' ELSE 'resolved' END AS mode, event_id % 5 = 0 AS wrong, CASE WHEN event_id % 6 = 0 THEN 'deferred' WHEN event_id % 6 = 3 THEN 'accepted' END AS decision, user_id,
   CAST((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) // 86400000000 AS BIGINT) AS age FROM events),
- s AS (SELECT *, type IN ('error', 'warn') OR coalesce(decision IN ('partial', 'rejected', 'deferred'), false) OR wrong AS signal, age >= 14 AS stale,
+ s AS MATERIALIZED (SELECT *, type IN ('error', 'warn') OR coalesce(decision IN ('partial', 'rejected', 'deferred'), false) OR wrong AS signal, age >= 14 AS stale,
   target || CASE WHEN event_id % 2 = 0 THEN '#L' || (user_id % 3 + 1) || 'C1-L' || (user_id % 3 + 2) || 'C1' ELSE '' END AS key FROM a),
- p AS (SELECT *, CASE type WHEN 'error' THEN 50 WHEN 'warn' THEN 35 WHEN 'suggest' THEN 15 ELSE 5 END + CASE WHEN signal THEN 25 ELSE 0 END + CASE WHEN decision = 'deferred' THEN 20 ELSE 0 END
+ p AS MATERIALIZED (SELECT *, CASE type WHEN 'error' THEN 50 WHEN 'warn' THEN 35 WHEN 'suggest' THEN 15 ELSE 5 END + CASE WHEN signal THEN 25 ELSE 0 END + CASE WHEN decision = 'deferred' THEN 20 ELSE 0 END
   + CASE WHEN mode = 'open' THEN 15 ELSE 0 END + CASE WHEN stale THEN 15 ELSE 0 END AS priority FROM s)"""
 
 
@@ -646,7 +651,7 @@ def audit_priority(spark, sf_dir):
     return priced(spark, sf_dir).select("event_id", "signal", "age_days", "anchor_key", "priority")
 
 
-@query(f"""WITH {_AUDITS}, k AS (SELECT * FROM p WHERE signal OR mode = 'open'), d AS (SELECT key, string_agg(x || '=' || n, ',' ORDER BY x) AS severities FROM (SELECT key, type AS x, count(*) AS n FROM k GROUP BY 1, 2) GROUP BY 1)
+@query(f"""WITH {_AUDITS}, k AS MATERIALIZED (SELECT * FROM p WHERE signal OR mode = 'open'), d AS MATERIALIZED (SELECT key, string_agg(x || '=' || n, ',' ORDER BY x) AS severities FROM (SELECT key, type AS x, count(*) AS n FROM k GROUP BY 1, 2) GROUP BY 1)
  SELECT key, min(target) AS target, count(*) AS n, CAST(sum(CASE WHEN mode = 'open' THEN 1 ELSE 0 END) AS BIGINT) AS open_n, CAST(sum(CASE WHEN mode = 'open' AND stale THEN 1 ELSE 0 END) AS BIGINT) AS stale_n,
   CAST(sum(priority) + CASE WHEN count(*) > 1 THEN 20 ELSE 0 END AS BIGINT) AS priority, list_extract(['error', 'warn', 'suggest', 'info'], CAST(min(CASE type WHEN 'error' THEN 1 WHEN 'warn' THEN 2 WHEN 'suggest' THEN 3 ELSE 4 END) AS INT)) AS top_type, any_value(severities) AS severities
  FROM k JOIN d USING (key) GROUP BY 1""")
@@ -671,7 +676,7 @@ def audit_validate(spark, sf_dir):
     return U.problems(A.event_audits(spark, sf_dir), files).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-@query("""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 200), x AS (SELECT doc_id, text, CAST(n // 3 AS INT) AS a, CAST(n // 3 + 40 AS INT) AS b FROM d)
+@query("""WITH d AS MATERIALIZED (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 200), x AS MATERIALIZED (SELECT doc_id, text, CAST(n // 3 AS INT) AS a, CAST(n // 3 + 40 AS INT) AS b FROM d)
  SELECT doc_id, CAST(length(substr(text, 1, a)) - length(replace(substr(text, 1, a), chr(10), '')) + 1 AS INT) AS line_from, CAST(length(substr(text, 1, b - 1)) - length(replace(substr(text, 1, b - 1), chr(10), '')) + 1 AS INT) AS line_to,
   substr(text, greatest(1, a - 79), least(a, 80)) AS before, substr(text, a + 1, 40) AS sel, substr(text, b + 1, 80) AS after FROM x""")
 def anchor_compute(spark, sf_dir):
@@ -681,7 +686,7 @@ def anchor_compute(spark, sf_dir):
     return rows.select("doc_id", "x.line_from", "x.line_to", "x.before", F.col("x.text").alias("sel"), "x.after")
 
 
-@query("""WITH d AS (SELECT doc_id, text, CAST(length(text) // 3 AS INT) AS a FROM documents WHERE length(text) > 200), x AS (SELECT doc_id, 'new line' || chr(10) || text AS moved, substr(text, a + 1, 40) AS sel, substr(text, greatest(1, a - 79), least(a, 80)) || substr(text, a + 1, 120) AS ctx, least(a, 80) AS lead,
+@query("""WITH d AS MATERIALIZED (SELECT doc_id, text, CAST(length(text) // 3 AS INT) AS a FROM documents WHERE length(text) > 200), x AS MATERIALIZED (SELECT doc_id, 'new line' || chr(10) || text AS moved, substr(text, a + 1, 40) AS sel, substr(text, greatest(1, a - 79), least(a, 80)) || substr(text, a + 1, 120) AS ctx, least(a, 80) AS lead,
   length(substr(text, 1, a)) - length(replace(substr(text, 1, a), chr(10), '')) + 1 AS l0, length(substr(text, 1, a + 39)) - length(replace(substr(text, 1, a + 39), chr(10), '')) + 1 AS l1 FROM d),
  y AS (SELECT *, (length(moved) - length(replace(moved, sel, ''))) // 40 AS n, array_to_string(string_split(moved, chr(10))[l0:l1], chr(10)) AS block FROM x)
  SELECT doc_id, CASE WHEN contains(block, sel) THEN 'lines' WHEN n = 1 THEN 'text' WHEN n > 1 AND contains(moved, ctx) THEN 'context' END AS via FROM y""")
@@ -703,7 +708,7 @@ def _edited(p: DataFrame) -> DataFrame:
     return kept.unionByName(new).drop("n")
 
 
-_HASHED = f"{O.STAR}, n AS (SELECT page_id, body, CAST('0x' || substr(sha256(page_id), 1, 4) AS INT) % 10 AS n FROM star)"
+_HASHED = f"{O.STAR}, n AS MATERIALIZED (SELECT page_id, body, CAST('0x' || substr(sha256(page_id), 1, 4) AS INT) % 10 AS n FROM star)"
 
 
 @query(f"WITH {_HASHED} SELECT page_id, CASE n WHEN 0 THEN 'delete' WHEN 1 THEN 'update' ELSE 'same' END AS change FROM n UNION ALL SELECT 'wiki/new/' || sha256(page_id) || '.md', 'insert' FROM n WHERE n = 2")
@@ -713,7 +718,7 @@ def state_diff(spark, sf_dir):
     return D.state_diff(mark(p), mark(_edited(p)))
 
 
-@query(f"""WITH {O.GRAPH}, {O.BOTH}, n AS (SELECT page_id, CAST('0x' || substr(sha256(page_id), 1, 4) AS INT) % 10 AS n FROM star), c AS (SELECT page_id FROM n WHERE n = 1)
+@query(f"""WITH {O.GRAPH}, {O.BOTH}, n AS MATERIALIZED (SELECT page_id, CAST('0x' || substr(sha256(page_id), 1, 4) AS INT) % 10 AS n FROM star), c AS MATERIALIZED (SELECT page_id FROM n WHERE n = 1)
  SELECT page_id FROM c UNION SELECT b FROM both_ways JOIN c ON a = page_id""")
 def dirty_pages(spark, sf_dir):
     p, e = knowledge(spark, sf_dir)
@@ -721,7 +726,7 @@ def dirty_pages(spark, sf_dir):
     return D.dirty_pages(e, p.select("page_id", F.when(n == 1, "update").otherwise("same").alias("change")))
 
 
-@query(f"""WITH {O.GRAPH}, n AS (SELECT page_id, CAST('0x' || substr(sha256(page_id), 1, 4) AS INT) % 10 AS n FROM star), c AS (SELECT page_id FROM n WHERE n = 1)
+@query(f"""WITH {O.GRAPH}, n AS MATERIALIZED (SELECT page_id, CAST('0x' || substr(sha256(page_id), 1, 4) AS INT) % 10 AS n FROM star), c AS MATERIALIZED (SELECT page_id FROM n WHERE n = 1)
  SELECT s, t, k, CAST(w AS BIGINT) AS w FROM edges WHERE s NOT IN (SELECT * FROM c) UNION ALL SELECT page_id, 'wiki/index.md', 'links_to', 1 FROM c""")
 def ego_delta(spark, sf_dir):
     p, e = knowledge(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -83,12 +84,14 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder where one is set, so that a loop's plan does not hold it many times over."""
+    """The frame written to the shared checkpoint folder and read back.
+
+    A loop's plan then does not hold its input many times over, and a lost executor
+    costs a reread. Where the session names no folder (local tests), a temporary one.
+    """
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/folioscope-graph/{uuid.uuid4().hex}"
+    path = f"{(folder or tempfile.mkdtemp()).rstrip('/')}/folioscope-graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

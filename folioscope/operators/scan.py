@@ -36,12 +36,13 @@ def scan_round(edges: DataFrame, seeds: DataFrame, enqueued: DataFrame, depth: i
     return new_pages, new_edges
 
 
-def fixpoint(edges: DataFrame, seeds: DataFrame, depth: int = 1, max_rounds: int = MAX_ROUNDS, checkpoint=lambda df: df) -> DataFrame:
+def fixpoint(edges: DataFrame, seeds: DataFrame, depth: int = 1, max_rounds: int = MAX_ROUNDS, checkpoint=G.kept) -> DataFrame:
     """(page_id, round): each page with the round that first reads it.
 
-    Every round's new pages are the next round's seeds. ``checkpoint`` may write and
-    reread a frame; without it the plan grows with the rounds, of which there are few.
+    Every round's new pages are the next round's seeds. Each round is written and
+    reread, so plans do not grow with the rounds.
     """
+    edges = checkpoint(edges)
     met = edges.select(F.col("s").alias("page_id")).limit(0)
     found = None
     frontier = seeds.select("page_id").distinct()

@@ -52,9 +52,9 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed pages and edges, both kept: the steps of a graph query read them many times."""
-    p = parsed(spark, sf_dir).persist()
-    return p, G.knowledge_graph(p).persist()
+    """Parsed pages and edges, both written and reread: the steps of a graph query read them many times."""
+    p = G.kept(parsed(spark, sf_dir))
+    return p, G.kept(G.knowledge_graph(p))
 
 
 def seed_pages(spark: SparkSession) -> DataFrame:

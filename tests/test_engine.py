@@ -192,7 +192,7 @@ def test_anchors_move_with_their_text(spark):
     df = spark.createDataFrame([(text,)], "t string").withColumn("a", U.compute_anchor(F.col("t"), F.lit(4), F.lit(13)))
     places = lambda new: df.select(U.resolve_anchor(F.lit(new), F.col("a")).alias("r")).first()["r"]
     assert tuple(places(text)) == (4, "lines")
-    assert tuple(places("zero\nmore\n\n" + text.replace("three\ntwo words\n", ""))) == (14, "text")
+    assert tuple(places("zero\nmore\n\n" + text.replace("three\ntwo words\n", ""))) == (15, "text")
     assert tuple(places("zero\n\n\n\n" + text)) == (12, "context")
     assert places("gone") is None
 

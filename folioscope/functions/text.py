@@ -177,7 +177,7 @@ def human_bytes(n: Column) -> Column:
     """1536 -> 1.5 KB; whole bytes below a kilobyte."""
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), start=1):
-        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", n / float(1024**power)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", F.bround(n / float(1024**power), 1)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

@@ -40,8 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+_written: list[str] = []
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``sweep`` removes it unless it is to be kept.
 
     This cuts the lineage, so that a lost executor costs a reread of replicated
     or shared files instead of a recomputation, and so that a frame which is
@@ -49,15 +52,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioscope-llm/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def sweep(spark: SparkSession) -> None:
-    """Remove what ``materialise`` has written; call it when no result is still to be read."""
+    """Remove what ``materialise`` has written in this process; call it when no result that rests on it is still to be read."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folioscope-llm")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

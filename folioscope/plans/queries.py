@@ -76,9 +76,7 @@ def pages(spark, sf_dir):
 @query(f"""WITH {O.STAR} SELECT page_id, CAST(CASE WHEN kind = 'summary' THEN 4 WHEN kind = 'entity' THEN 5 WHEN page_id = 'wiki/index.md' THEN 1 WHEN page_id LIKE '%supplier%' THEN CASE WHEN kind = 'supplier' THEN 6 ELSE 5 END
  ELSE 4 + CASE WHEN kind = 'customer' THEN 1 ELSE 0 END + CASE WHEN body LIKE '%sources: [raw/customers.md]%' THEN 1 ELSE 0 END END AS BIGINT) AS n_keys FROM star""")
 def frontmatter(spark, sf_dir):
-    return star(spark, sf_dir).select("page_id", F.size(T.front_map(T.front_block(F.col("body")))).cast("long").alias("n_keys")).withColumn(
-        "n_keys", F.when(F.col("page_id").startswith("wiki/customers/"), F.col("n_keys")).otherwise(F.col("n_keys"))
-    )
+    return star(spark, sf_dir).select("page_id", F.size(T.front_map(T.front_block(F.col("body")))).cast("long").alias("n_keys"))
 
 
 @query(f"""SELECT {O._NAT} AS page_id, 'geo,' || lower(n_name) AS tags, 'raw/nations.md' AS sources FROM nation UNION ALL
@@ -102,9 +100,9 @@ def page_kind(spark, sf_dir):
     return parsed(spark, sf_dir).select("page_id", "kind")
 
 
-@query(f"WITH {O.STAR} SELECT page_id, summary FROM star")
+@query(f"WITH {O.STAR} SELECT page_id, summary FROM star WHERE page_id <> 'wiki/index.md'")
 def page_summary(spark, sf_dir):
-    return P.summaries(star(spark, sf_dir)).withColumn("summary", F.when(F.col("page_id") == "wiki/index.md", F.lit("- plain entry")).otherwise(F.col("summary")))
+    return P.summaries(star(spark, sf_dir)).where("page_id != 'wiki/index.md'")
 
 
 @query(f"""WITH {O.STAR} SELECT page_id, title AS display_name, CASE WHEN page_id = 'wiki/index.md' THEN 'Index' ELSE string_split(page_id, '/')[2] || ' / ' || title END AS qualified_name,
@@ -450,7 +448,7 @@ def html_frequent_missing(spark, sf_dir):
 
 def ranked_pages(spark, sf_dir):
     p, e = knowledge(spark, sf_dir)
-    return p.join(P.summaries(p.select("page_id", "body")), "page_id").withColumn("summary", F.when(F.col("page_id") == "wiki/index.md", "- plain entry").otherwise(F.col("summary"))), e
+    return p.join(P.summaries(p.select("page_id", "body")), "page_id"), e
 
 
 DOC_WORDS = "license that was"
@@ -525,12 +523,12 @@ def interest_terms(spark, sf_dir):
     return R.interest_terms(profile)
 
 
-@query(f"""WITH {O.STAR}, {_bags('star', 'title', "replace(tags, ',', ' ')", 'summary', 'body')}, ip AS (SELECT page_id, sum(plus * (CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM ti) THEN 240 ELSE 0 END
+@query(f"""WITH {O.STAR}, {_SEEN}, {_bags('kept', 'title', "replace(tags, ',', ' ')", 'summary', 'body')}, ip AS (SELECT page_id, sum(plus * (CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM ti) THEN 240 ELSE 0 END
  + CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM tg) THEN 200 ELSE 0 END + CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM su) THEN 120 ELSE 0 END + least(180, 18 * tf)) - minus * 140) AS p
  FROM tf JOIN {_TERMS} USING (token) GROUP BY 1) SELECT page_id, round(4 * (CAST(p AS DOUBLE) / 10000) / norm, 6) AS interest FROM ip JOIN norm USING (page_id)""")
 def interest_rank(spark, sf_dir):
     p, _ = ranked_pages(spark, sf_dir)
-    return R.interest(R.token_bags(p), interest_terms(spark, sf_dir)).select("page_id", F.round("interest", 6).alias("interest"))
+    return R.interest(R.token_bags(p.where("page_id != 'wiki/index.md'")), interest_terms(spark, sf_dir)).select("page_id", F.round("interest", 6).alias("interest"))
 
 
 @query(f"""WITH {_DOCS}, t AS MATERIALIZED ({O.tokens('docs', 'text')}) SELECT page_id, count(DISTINCT page_id) AS hits FROM t WHERE token IN ('license', 'tionre', 'stock') GROUP BY 1""")
@@ -578,10 +576,10 @@ def recent_edges(spark, sf_dir):
     return C.recent_edges(recent(spark, sf_dir))
 
 
-@query(f"""WITH {_EVENTS}, x AS MATERIALIZED (SELECT DISTINCT page_id, bucket FROM b WHERE bucket IS NOT NULL) SELECT page_id, min(CASE WHEN bucket = 'floating' THEN 'zfloating' ELSE bucket END) AS primary_bucket,
+@query(f"""WITH {_EVENTS}, x AS MATERIALIZED (SELECT DISTINCT page_id, bucket FROM b WHERE bucket IS NOT NULL) SELECT page_id, replace(min(CASE WHEN bucket = 'floating' THEN 'zfloating' ELSE bucket END), 'z', '') AS primary_bucket,
  string_agg(bucket, ',' ORDER BY CASE WHEN bucket = 'floating' THEN 'z' ELSE bucket END) AS buckets, max(d) AS d FROM x JOIN (SELECT page_id, max(depth) AS d FROM b WHERE bucket IS NOT NULL GROUP BY 1) USING (page_id) GROUP BY 1""")
 def recent_pages(spark, sf_dir):
-    return C.recent_pages(recent(spark, sf_dir)).select("page_id", F.when(F.col("primary_bucket") == "floating", "zfloating").otherwise(F.col("primary_bucket")).alias("primary_bucket"), *text_of("buckets"), "d")
+    return C.recent_pages(recent(spark, sf_dir)).select("page_id", "primary_bucket", *text_of("buckets"), "d")
 
 
 @query(f"WITH {_EVENTS} SELECT bucket, string_agg(DISTINCT strftime(date, '%Y-%m-%d'), ',' ORDER BY strftime(date, '%Y-%m-%d') DESC) AS dates FROM b WHERE bucket IS NOT NULL GROUP BY 1")

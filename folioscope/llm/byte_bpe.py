@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from folioscope.llm.common import partitions
 from folioscope.llm.packs import CELLS, NO_ID, cells, pack, pack_docs, unpack
 
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 
 
 @cache
@@ -135,6 +135,7 @@ def _reassembled(path: str, pattern: str, buckets: int, with_ids: bool):
                         ends, flat = np.cumsum(sizes).tolist(), flat.tolist()
                         ids_of.update(zip(words, map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             found = [ids_of[w] for w in number]
+            del ids_of, number
             said = [" ".join(map(str, x)) for x in found]
             raw = [decode(x, path) for x in found]
             sizes = np.fromiter(map(len, found), np.int64, len(found))

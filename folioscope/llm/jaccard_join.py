@@ -25,7 +25,10 @@ memberships are reported once. Groups are never expanded into all pairs:
    comparison is exact; components follow;
 3. only groups whose members are still in different components give pairs, and only
    pairs of different components that sizes and sketches leave possible; they are
-   compared exactly, and the components joined. No link between components is lost.
+   compared exactly, and the components joined. No link between components is lost;
+4. links are counted inside components: the classes of one are dealt to blocks of about
+   ``BLOCK``, each two blocks are compared exactly in a task of their own, and a link
+   of two classes counts for each of their rows.
 
 Defined results: a null or empty text, or one without words, has the empty set and
 links with nothing; fewer words than five are one shingle; equal rows are one class;
@@ -49,6 +52,7 @@ from folioscope.llm.packs import CELLS, LOW48, NO_ID, ORDINAL_BITS, bucket_of, c
 
 WORDS = 5
 SMALL = 64  # bands up to this size take the one-deletion allocation
+BLOCK = 512  # classes of a component that are compared with as many others in one task
 SKETCH_WORDS = 8  # parity sketches have 512 bits at least
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -344,8 +348,58 @@ def _left_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(np.concatenate([*found_a, np.zeros(0, np.int64)]), pa.int64()), "b": pa.array(np.concatenate([*found_b, np.zeros(0, np.int64)]), pa.int64())})
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Number of tokens that each set of ``x`` shares with each of ``y``."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    step = 8192
+    for k in range(0, len(both), step):
+        part = both[k : k + step]
+        marks = []
+        for sets in (x, y):
+            mark = np.zeros((len(sets), len(part)), np.float32)
+            for i, tokens in enumerate(sets):
+                inside = tokens[np.searchsorted(tokens, part[0]) : np.searchsorted(tokens, part[-1], "right")]
+                at = np.searchsorted(part, inside)
+                mark[i, at[part[at] == inside]] = 1
+            marks.append(mark)
+        out += (marks[0] @ marks[1].T).astype(np.int64)
+    return out
+
+
+def _count_links(table: pa.Table) -> pa.Table:
+    """Rows that each class of two blocks of a component links with in the other block; in its own, if both are one."""
+    uid, block, copies = (table.column(c).to_numpy() for c in ("uid", "block", "copies"))
+    tokens = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")]
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    if not len(a) or not len(b):
+        return pa.table({"uid": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+    both = _shared([tokens[i] for i in a], [tokens[i] for i in b])
+    sizes = np.array(list(map(len, tokens)), np.int64)
+    linked = 100 * both >= 80 * (sizes[a][:, None] + sizes[b][None, :] - both)
+    if low == high:
+        np.fill_diagonal(linked, False)
+        return pa.table({"uid": uid[a], "links": linked @ copies[b]})
+    return pa.table({"uid": np.concatenate([uid[a], uid[b]]), "links": np.concatenate([linked @ copies[b], copies[a] @ linked])})
+
+
+def _links(packs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(uid, links) of every class's root: rows of other classes that it links with; ``classes`` has root and copies."""
+    of = roots.select(F.col("node").alias("uid"), F.col("root").alias("component"))
+    inside = classes.select(F.col("root").alias("uid"), "copies").join(of, "uid")
+    sizes = inside.groupBy("component").agg(F.count("*").alias("c")).where("c > 1")
+    inside = inside.join(sizes, "component").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    inside = inside.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    inside = materialise(inside.select("uid", "component", "copies", "block", "blocks"), "jaccard-blocks")
+    held = inside.join(_fetch(packs, inside.select("uid")), "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("uid", "component", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "tokens")
+    found = held.groupBy("component", "low", "high").applyInArrow(_count_links, "uid long, links long")
+    return found.groupBy("uid").agg(F.sum("links").alias("links"))
+
+
 def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (links found to rows of other sets) of every row."""
+    """doc_id, n_shingles, component_id and n_links (other rows of 0.8 or more, equal sets included) of every row."""
     count = buckets or partitions(docs.sparkSession)
     packs = pack_docs(docs)
     profile = materialise(packs.mapInArrow(_profiles, "uid long, id long, n long, digest binary, sketch binary"), "jaccard-profiles")
@@ -378,8 +432,9 @@ def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     links = materialise(links.unionByName(_linked(packs, pairs)), "jaccard-all-links")
     roots = components(links.unionByName(equal))
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
-    rows = profile.select("uid", "id", "n").join(roots.withColumnRenamed("node", "uid"), "uid", "left").join(ends, "uid", "left")
+    counted = classes.join(_links(packs, classes, roots).withColumnRenamed("uid", "root"), "root", "left")
+    counted = counted.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = profile.select("uid", "id", "n", "digest").join(roots.withColumnRenamed("node", "uid"), "uid", "left").join(counted, "digest", "left")
     rows = rows.withColumn("root", F.coalesce("root", "uid"))
     least = rows.groupBy("root").agg(F.min("id").alias("component"))
     rows = rows.join(least, "root")

@@ -766,7 +766,7 @@ def migrate_wikilinks(spark, sf_dir):
 
 @query()
 def scan_fixpoint(spark, sf_dir):
-    return S.fixpoint(knowledge(spark, sf_dir)[1], seed_pages(spark), max_rounds=3)
+    return S.fixpoint(knowledge(spark, sf_dir)[1], seed_pages(spark))
 
 
 @query()

@@ -157,6 +157,11 @@ def human_bytes(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").where(n < 1 << 20).select("doc_id", T.human_bytes(n).alias("size"))
 
 
+@query()
+def human_bytes_all(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.human_bytes(F.octet_length("text")).alias("size"))
+
+
 _DOCS = "docs AS MATERIALIZED (SELECT 'wiki/documents/' || doc_id || '.md' AS page_id, 'Document ' || doc_id AS title, source AS kind, lang, text FROM documents)"
 
 
@@ -678,7 +683,15 @@ def audit_validate(spark, sf_dir):
  SELECT doc_id, CAST(length(substr(text, 1, a)) - length(replace(substr(text, 1, a), chr(10), '')) + 1 AS INT) AS line_from, CAST(length(substr(text, 1, b - 1)) - length(replace(substr(text, 1, b - 1), chr(10), '')) + 1 AS INT) AS line_to,
   substr(text, greatest(1, a - 79), least(a, 80)) AS before, substr(text, a + 1, 40) AS sel, substr(text, b + 1, 80) AS after FROM x""")
 def anchor_compute(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") > 200)
+    return _computed(spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") > 200))
+
+
+@query()
+def anchor_compute_all(spark, sf_dir):
+    return _computed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _computed(docs: DataFrame) -> DataFrame:
     a = F.floor(F.length("text") / 3).cast("int")
     rows = docs.select("doc_id", U.compute_anchor(F.col("text"), a, a + 40).alias("x"))
     return rows.select("doc_id", "x.line_from", "x.line_to", "x.before", F.col("x.text").alias("sel"), "x.after")
@@ -689,7 +702,15 @@ def anchor_compute(spark, sf_dir):
  y AS (SELECT *, (length(moved) - length(replace(moved, sel, ''))) // 40 AS n, array_to_string(string_split(moved, chr(10))[l0:l1], chr(10)) AS block FROM x)
  SELECT doc_id, CASE WHEN contains(block, sel) THEN 'lines' WHEN n = 1 THEN 'text' WHEN n > 1 AND contains(moved, ctx) THEN 'context' END AS via FROM y""")
 def anchor_resolve(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") > 200)
+    return _resolved(spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") > 200))
+
+
+@query()
+def anchor_resolve_all(spark, sf_dir):
+    return _resolved(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _resolved(docs: DataFrame) -> DataFrame:
     a = F.floor(F.length("text") / 3).cast("int")
     rows = docs.select("doc_id", F.concat(F.lit("new line\n"), "text").alias("moved"), U.compute_anchor(F.col("text"), a, a + 40).alias("x"))
     return rows.select("doc_id", U.resolve_anchor(F.col("moved"), F.col("x")).alias("r")).select("doc_id", "r.via")

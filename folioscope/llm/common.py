@@ -67,6 +67,11 @@ def sweep(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def quoted(column: str) -> str:
+    """A column's name for ``F.col``, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,8 +15,9 @@ the cheaper one that keeps the promise is taken:
   costs a signature for each token; it is taken for small sets, and besides the first
   by sets with more than E empty segments.
 
-Signatures go packed to buckets, which report the groups that share one; equal
-memberships are reported once. Groups are never expanded into all pairs:
+Signatures go packed to buckets, which find the groups that share one; the groups are
+dealt again by their membership, so that each distinct one counts once. Groups are never
+expanded into all pairs:
 
 1. sets that are equal are one class at once;
 2. each member of a group is compared with the best of its groups' first members:
@@ -25,7 +26,8 @@ memberships are reported once. Groups are never expanded into all pairs:
    comparison is exact; components follow;
 3. only groups whose members are still in different components give pairs, and only
    pairs of different components that sizes and sketches leave possible; they are
-   compared exactly, and the components joined. No link between components is lost;
+   compared exactly, and the components joined. A group is dealt to blocks of about
+   ``BLOCK`` rows, each two in a task of their own. No link between components is lost;
 4. links are counted inside components: the classes of one are dealt to blocks of about
    ``BLOCK``, each two blocks are compared exactly in a task of their own, and a link
    of two classes counts for each of their rows.
@@ -44,15 +46,17 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD_BYTES, materialise, partitions
-from folioscope.llm.packs import CELLS, LOW48, NO_ID, ORDINAL_BITS, bucket_of, cells, mix, pack, pack_docs, pack_hashes, unpack, unpack_hashes
+from folioscope.llm.common import WORD_BYTES, materialise
+from folioscope.llm.packs import LOW48, NO_ID, ORDINAL_BITS, PACK_BYTES, bucket_count, bucket_of, mix, pack, pack_docs, pack_hashes, release, slices, tidy, unpack, unpack_hashes
 
 WORDS = 5
 SMALL = 64  # bands up to this size take the one-deletion allocation
-BLOCK = 512  # classes of a component that are compared with as many others in one task
+BLOCK = 512  # rows of a group or component that are compared with as many others in one task
+BLOCK_TOKENS = 1 << 20  # tokens of a block, about
+SLICE = 1 << 19  # signatures of a bucket that are sorted at a time
 SKETCH_WORDS = 8  # parity sketches have 512 bits at least
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -144,6 +148,9 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
     value = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     for b in {max(number - 1, 0), number}:
         h, m, spare, small = scheme(b)
+        if not h:  # partners are equal: the whole set
+            out.append(mix(value.sum(keepdims=True) + np.uint64((2 * b) ^ 0x5555)))
+            continue
         few = small
         if not small:
             s, order, first = _segments(tokens, m)
@@ -185,82 +192,97 @@ def possible(n: int, sketch_n: bytes, m: int, sketch_m: bytes) -> bool:
     return 9 * int(np.bitwise_count(fold(sketch_n, size) ^ fold(sketch_m, size)).sum()) <= n + m
 
 
-class Sets:
-    """The set of each row of a pack; equal texts share one."""
+def _texts_and_sets(payload: bytes) -> tuple[list[int], list[np.ndarray]]:
+    """Ids of a pack and the set of each row; equal texts share one."""
+    ids, texts = unpack(payload)
+    at: dict[bytes, int] = {}
+    unit = [at.setdefault(t, len(at)) for t in texts]
+    found = shingle_sets(list(at))
+    return ids, [found[u] for u in unit]
 
-    def __init__(self, payload: bytes):
-        self.ids, texts = unpack(payload)
-        at: dict[bytes, int] = {}
-        unit = [at.setdefault(t, len(at)) for t in texts]
-        found = shingle_sets(list(at))
-        self.sets = [found[u] for u in unit]
 
+SURVEY = "uid long, id long, n long, digest binary, sketch binary, pack long, bucket int, payload binary"
+
+
+def _survey(buckets: int):
+    """Of each row its uid, id, set size, 128 bits that stand for the set, and sketch; of each pack a cell of signatures for each bucket."""
+    fields = pa.schema([("uid", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("pack", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
+
+    def rows(**columns) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in fields], schema=fields)
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each row: uid, id, set size, 128 bits that stand for the set, sketch."""
-    for batch in batches:
-        for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            sets = Sets(payload.as_py())
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets.sets]
-            uids = (np.int64(number) << ORDINAL_BITS) + np.arange(len(sets.ids), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(uids),
-                    pa.array(sets.ids, pa.int64()),
-                    pa.array(list(map(len, sets.sets)), pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array(list(map(sketch, sets.sets)), pa.binary()),
-                ],
-                ["uid", "id", "n", "digest", "sketch"],
-            )
-
-
-def _index(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes, owners, seen = [], [], set()
-                for k, tokens in enumerate(Sets(payload.as_py()).sets):
-                    key = tokens.tobytes()
-                    if len(tokens) and key not in seen:
-                        seen.add(key)
-                        hashes.append(signatures(tokens))
-                        owners.append(np.full(len(hashes[-1]), k, np.uint32))
-                if not hashes:
-                    continue
-                h, o = np.concatenate(hashes), np.concatenate(owners)
-                bucket = bucket_of(h, buckets)
-                order = np.lexsort((h & LOW48, bucket))
-                keys, first = np.unique(bucket[order], return_index=True)
-                dealt = {}
-                for k, rows in zip(keys.tolist(), np.split(order, first[1:]), strict=True):
-                    dealt[k] = pack((pack_hashes(h[rows] & LOW48), o[rows].tobytes()))
-                yield from cells(number, dealt).to_batches()
+                ids, sets = _texts_and_sets(payload.as_py())
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                uids = (np.int64(number) << ORDINAL_BITS) + np.arange(len(ids), dtype=np.int64)
+                yield rows(uid=uids, id=ids, n=list(map(len, sets)), digest=digests, sketch=list(map(sketch, sets)))
+                dealt = _dealt_signatures(sets, digests, buckets)
+                keys = sorted(dealt)
+                yield rows(pack=[number] * len(keys), bucket=keys, payload=[dealt[k] for k in keys])
+                del sets, dealt
+                release()
 
     return run
 
 
-def _groups(table: pa.Table) -> pa.Table:
-    """Memberships of two or more that share a signature, each once with the number of its signatures."""
-    hashes, owners = [], []
-    for number, payload in zip(table.column("pack").to_pylist(), table.column("payload"), strict=True):
-        h, o = unpack(payload.as_py())
-        hashes.append(unpack_hashes(h))
-        owners.append((np.int64(number) << ORDINAL_BITS) + np.frombuffer(o, np.uint32).astype(np.int64))
+def _dealt_signatures(sets: list[np.ndarray], digests: list[bytes], buckets: int) -> dict[int, bytes]:
+    hashes, owners, seen = [], [], set()
+    for k, (tokens, digest) in enumerate(zip(sets, digests, strict=True)):
+        if len(tokens) and digest not in seen:
+            seen.add(digest)
+            hashes.append(signatures(tokens))
+            owners.append(np.full(len(hashes[-1]), k, np.uint32))
+    if not hashes:
+        return {}
     h, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.lexsort((o, h))
-    h, o = h[order], o[order]
-    first = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+    bucket = bucket_of(h, buckets)
+    order = np.lexsort((h & LOW48, bucket))
+    keys, first = np.unique(bucket[order], return_index=True)
+    parts = np.split(order, first[1:]) if len(keys) else []
+    return {k: pack((pack_hashes(h[rows] & LOW48), o[rows].tobytes())) for k, rows in zip(keys.tolist(), parts, strict=True)}
+
+
+def _meetings(buckets: int):
+    """Memberships of two or more that share a signature, with the number of its signatures in a bucket, dealt by themselves."""
+
+    def run(table: pa.Table) -> pa.Table:
+        told = []
+        for number, payload in zip(table.column("pack").to_pylist(), table.column("payload"), strict=True):
+            h, o = unpack(payload.as_py())
+            told.append((unpack_hashes(h), np.frombuffer(o, np.uint32), np.int64(number) << ORDINAL_BITS))
+        found: dict[bytes, int] = {}
+        for ranges in slices([t[0] for t in told], SLICE):
+            h = np.concatenate([t[0][a:b] for t, (a, b) in zip(told, ranges, strict=True)])
+            o = np.concatenate([t[1][a:b].astype(np.int64) + t[2] for t, (a, b) in zip(told, ranges, strict=True)])
+            order = np.lexsort((o, h))
+            h, o = h[order], o[order]
+            first = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+            shared = np.diff(first) > 1
+            for a, b in zip(first[:-1][shared].tolist(), first[1:][shared].tolist(), strict=True):
+                key = o[a:b].tobytes()
+                found[key] = found.get(key, 0) + 1
+        dealt: dict[int, list[tuple[bytes, int]]] = {}
+        for key, weight in found.items():
+            dealt.setdefault(xxhash.xxh3_64_intdigest(key) % buckets, []).append((key, weight))
+        keys = sorted(dealt)
+        return pa.table({"bucket": pa.array(keys, pa.int32()), "payload": pa.array([pack(dealt[k]) for k in keys], pa.binary())})
+
+    return run
+
+
+def _groups(table: pa.Table) -> pa.Table:
+    """The rows (gid, weight, uid) of the distinct memberships of a bucket."""
     found: dict[bytes, int] = {}
-    for a, b in zip(first[:-1][np.diff(first) > 1].tolist(), first[1:][np.diff(first) > 1].tolist(), strict=True):
-        key = o[a:b].tobytes()
-        found[key] = found.get(key, 0) + 1
-    return pa.table(
-        {
-            "members": pa.array([np.frombuffer(k, np.int64) for k in found], pa.list_(pa.int64())),
-            "weight": pa.array(list(found.values()), pa.int64()),
-        }
-    )
+    for payload in table.column("payload"):
+        for key, weight in unpack(payload.as_py()):
+            found[key] = found.get(key, 0) + weight
+    sizes = np.fromiter((len(k) // 8 for k in found), np.int64, len(found))
+    gid = (np.int64(table.column("bucket")[0].as_py()) << 40) + np.arange(len(found), dtype=np.int64)
+    weight = np.fromiter(found.values(), np.int64, len(found))
+    return pa.table({"gid": np.repeat(gid, sizes), "weight": np.repeat(weight, sizes), "uid": np.frombuffer(b"".join(found), np.int64)})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,14 +314,15 @@ def _fetch(packs: DataFrame, uids: DataFrame) -> DataFrame:
     """(uid, tokens) of the asked rows, from their packs."""
 
     def run(own: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[int, bytes]] = []
+        uids, sets = [], []
         if len(own) and len(asked):
-            sets = Sets(own.column("payload")[0].as_py()).sets
-            out = [(u, sets[u & ((1 << ORDINAL_BITS) - 1)].tobytes()) for u in asked.column("uid").to_pylist()]
-        return pa.table({"uid": pa.array([u for u, _ in out], pa.int64()), "tokens": pa.array([t for _, t in out], pa.binary())})
+            uids = asked.column("uid").to_pylist()
+            texts = unpack(own.column("payload")[0].as_py())[1]
+            sets = shingle_sets([texts[u & ((1 << ORDINAL_BITS) - 1)] for u in uids])
+        return pa.table({"uid": pa.array(uids, pa.int64()), "tokens": pa.array([t.tobytes() for t in sets], pa.binary())})
 
     asked = uids.select("uid", F.shiftright("uid", ORDINAL_BITS).alias("pack")).distinct()
-    return packs.groupBy("pack").cogroup(asked.groupBy("pack")).applyInArrow(run, "uid long, tokens binary")
+    return packs.groupBy("pack").cogroup(asked.groupBy("pack")).applyInArrow(tidy(run), "uid long, tokens binary")
 
 
 def _linked(packs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -330,24 +353,35 @@ def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _left_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of different components in one group that size and sketch leave possible."""
-    uid, root, n = (table.column(c).to_numpy() for c in ("uid", "root", "n"))
+    """Pairs of different components in two blocks of a group (or in one) that size and sketch leave possible."""
+    uid, root, n, block = (table.column(c).to_numpy() for c in ("uid", "root", "n", "block"))
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    order = np.argsort(n, kind="stable")
     sketches = table.column("sketch").to_pylist()
+    uid, root, n, block, sketches = uid[order], root[order], n[order], block[order], [sketches[i] for i in order]
     bits = np.stack([fold(x, 8 * SKETCH_WORDS) for x in sketches])
-    order = np.argsort(n, kind="stable")
-    uid, root, n, bits, sketches = uid[order], root[order], n[order], bits[order], [sketches[i] for i in order]
     found_a, found_b = [], []
     for i in range(len(uid) - 1):
         end = np.searchsorted(n, n[i] * 5 // 4, "right")
         rest = slice(i + 1, end)
         apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1).astype(np.int64)
-        hit = np.flatnonzero((root[rest] != root[i]) & (9 * apart <= n[rest] + n[i])) + i + 1
+        meets = (root[rest] != root[i]) & (9 * apart <= n[rest] + n[i])
+        if low != high:
+            meets &= block[rest] != block[i]
+        hit = np.flatnonzero(meets) + i + 1
         hit = np.array([j for j in hit.tolist() if possible(n[i], sketches[i], n[j], sketches[j])], np.int64)
         found_a.append(np.minimum(uid[hit], uid[i]))
         found_b.append(np.maximum(uid[hit], uid[i]))
     return pa.table({"a": pa.array(np.concatenate([*found_a, np.zeros(0, np.int64)]), pa.int64()), "b": pa.array(np.concatenate([*found_b, np.zeros(0, np.int64)]), pa.int64())})
 
 
+def _paired(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Rows dealt to the blocks of their key, each with every block of it: (low, high) is a pair of blocks."""
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64(key, "uid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
+
+
 def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Number of tokens that each set of ``x`` shares with each of ``y``."""
     out = np.zeros((len(x), len(y)), np.int64)
@@ -385,31 +419,32 @@ def _count_links(table: pa.Table) -> pa.Table:
 
 
 def _links(packs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(uid, links) of every class's root: rows of other classes that it links with; ``classes`` has root and copies."""
+    """(uid, links) of every class's root: rows of other classes that it links with; ``classes`` has root, copies and n."""
     of = roots.select(F.col("node").alias("uid"), F.col("root").alias("component"))
-    inside = classes.select(F.col("root").alias("uid"), "copies").join(of, "uid")
-    sizes = inside.groupBy("component").agg(F.count("*").alias("c")).where("c > 1")
-    inside = inside.join(sizes, "component").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    inside = inside.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    inside = materialise(inside.select("uid", "component", "copies", "block", "blocks"), "jaccard-blocks")
-    held = inside.join(_fetch(packs, inside.select("uid")), "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("uid", "component", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "tokens")
-    found = held.groupBy("component", "low", "high").applyInArrow(_count_links, "uid long, links long")
+    inside = classes.select(F.col("root").alias("uid"), "copies", "n").join(of, "uid")
+    sizes = inside.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1")
+    inside = materialise(inside.join(sizes, "component").drop("n"), "jaccard-inside")
+    held = inside.join(_fetch(packs, inside.select("uid")), "uid")
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("total") / BLOCK_TOKENS))
+    held = _paired(held, "component", blocks).select("uid", "component", "copies", "block", "low", "high", "tokens")
+    found = held.groupBy("component", "low", "high").applyInArrow(tidy(_count_links), "uid long, links long")
     return found.groupBy("uid").agg(F.sum("links").alias("links"))
 
 
-def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def jaccard_join(docs: DataFrame, buckets: int | None = None, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other rows of 0.8 or more, equal sets included) of every row."""
-    count = buckets or partitions(docs.sparkSession)
-    packs = pack_docs(docs)
-    profile = materialise(packs.mapInArrow(_profiles, "uid long, id long, n long, digest binary, sketch binary"), "jaccard-profiles")
-    classes = profile.where("n > 0").groupBy("digest").agg(F.min("uid").alias("root"), F.count("*").alias("copies"))
+    packs = pack_docs(docs, pack_bytes)
+    count = buckets or bucket_count(packs, pack_bytes)
+    survey = materialise(packs.mapInArrow(_survey(count), SURVEY), "jaccard-survey")
+    profile = survey.where("uid is not null").select("uid", "id", "n", "digest", "sketch")
+    classes = profile.where("n > 0").groupBy("digest").agg(F.min("uid").alias("root"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    classes = materialise(classes, "jaccard-classes")
     equal = profile.where("n > 0").join(classes.where("copies > 1"), "digest").select(F.col("root").alias("a"), F.col("uid").alias("b")).where("a != b")
     equal = materialise(equal, "jaccard-equal")
 
-    groups = packs.mapInArrow(_index(count), CELLS).groupBy("bucket").applyInArrow(_groups, "members array<long>, weight long")
-    groups = groups.groupBy("members").agg(F.sum("weight").alias("weight")).withColumn("gid", F.xxhash64("members"))
-    members = groups.select("gid", "weight", F.explode("members").alias("uid"))
+    signed = survey.where("payload is not null").select("pack", "bucket", "payload")
+    met = signed.groupBy("bucket").applyInArrow(tidy(_meetings(count)), "bucket int, payload binary")
+    members = met.groupBy("bucket").applyInArrow(tidy(_groups), "gid long, weight long, uid long")
     same = equal.select(F.col("b").alias("uid"), F.col("a").alias("of"))
     members = members.join(same, "uid", "left").select("gid", "weight", F.coalesce("of", "uid").alias("uid")).distinct()
     members = materialise(members, "jaccard-groups")
@@ -426,14 +461,14 @@ def jaccard_join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     # What is still apart inside a group.
     told = members.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("gid", "uid", F.coalesce("root", "uid").alias("root"))
-    mixed = told.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gid")
-    apart = told.join(mixed, "gid", "left_semi").join(profile.select("uid", "n", "sketch"), "uid")
-    pairs = apart.groupBy("gid").applyInArrow(_left_pairs, "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
+    mixed = told.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("gid", "c")
+    apart = _paired(told.join(mixed, "gid"), "gid", F.ceil(F.col("c") / BLOCK)).join(profile.select("uid", "n", "sketch"), "uid")
+    pairs = apart.groupBy("gid", "low", "high").applyInArrow(tidy(_left_pairs), "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
     links = materialise(links.unionByName(_linked(packs, pairs)), "jaccard-all-links")
     roots = components(links.unionByName(equal))
 
     counted = classes.join(_links(packs, classes, roots).withColumnRenamed("uid", "root"), "root", "left")
-    counted = counted.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    counted = materialise(counted.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-counted")
     rows = profile.select("uid", "id", "n", "digest").join(roots.withColumnRenamed("node", "uid"), "uid", "left").join(counted, "digest", "left")
     rows = rows.withColumn("root", F.coalesce("root", "uid"))
     least = rows.groupBy("root").agg(F.min("id").alias("component"))

@@ -7,12 +7,20 @@ row for each pack and bucket, compressed: a few bytes for a hash instead of a ro
 
 The number of a pack is made of the task's partition and a count, so it is unique,
 and it is fixed once the packs are written.
+
+Memory: a task holds one pack, or the cells of one bucket. A pack has ``PACK_BYTES``
+of text or one longer document; ``bucket_count`` takes so many buckets that one has
+the cells of ``BUCKET_BYTES`` of text, whatever the input, and buckets that make large
+arrays go through their cells by ranges of hashes (``slices``).
 """
 
 from __future__ import annotations
 
+import ctypes
 import marshal
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +28,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import materialise
+from folioscope.llm.common import materialise, partitions
 
-PACK_BYTES = 6 << 20
+PACK_BYTES = 3 << 20
+BUCKET_BYTES = 16 << 20
 ORDINAL_BITS = 19
 CELLS = "pack long, bucket int, payload binary"
 #: Stands for a null id: after every other.
@@ -30,6 +39,54 @@ NO_ID = (1 << 63) - 1
 LOW48 = np.uint64((1 << 48) - 1)
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def tidy(work: Callable) -> Callable:
+    """A function of Arrow tables that gives what it has freed back to the system.
+
+    Workers are reused; without this each keeps the most it ever took.
+    """
+
+    def one(table: pa.Table) -> pa.Table:
+        out = work(table)
+        release()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        release()
+        return out
+
+    return one if work.__code__.co_argcount == 1 else two
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def bucket_count(packs: DataFrame, pack_bytes: int = PACK_BYTES) -> int:
+    """Buckets for written packs: by their bytes, and not fewer than shuffle partitions."""
+    return max(partitions(packs.sparkSession), math.ceil(packs.count() * pack_bytes / BUCKET_BYTES))
+
+
+def slices(cells_of: list[np.ndarray], most: int) -> Iterator[list[tuple[int, int]]]:
+    """Ranges (low, high) of each array of sorted hashes, for ranges of hashes that hold about ``most`` in all."""
+    total = sum(map(len, cells_of))
+    parts = max(1, math.ceil(total / most))
+    at = [0] * len(cells_of)
+    for k in range(1, parts + 1):
+        end = [len(a) if k == parts else int(np.searchsorted(a, np.uint64((k << 48) // parts))) for a in cells_of]
+        yield list(zip(at, end, strict=True))
+        at = end
+
+
 def pack(value) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(marshal.dumps(value))
 
@@ -67,6 +124,7 @@ def pack_docs(docs: DataFrame, pack_bytes: int = PACK_BYTES, written: bool = Tru
                     yield flush()
         if ids:
             yield flush()
+        release()
 
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(cast(text as string) as binary) as text")
     packs = rows.mapInArrow(run, "pack long, payload binary")
@@ -110,6 +168,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def run_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """Scrambled polynomial hash of the ``size`` values from each place on, by doubling."""
+    have, h, out, done = 1, values, None, 0
+    while True:
+        if size & have:  # binary digits of the size, smallest first: append this power's hash
+            if out is None:
+                out, done = h, have
+            else:
+                n = min(len(h) - done, len(out))
+                out = out[:n] * _power(have) + h[done : done + n]
+                done += have
+        if done == size:
+            return mix(out[: len(values) - size + 1])
+        h = h[: len(h) - have] * _power(have) + h[have:]
+        have *= 2
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(0x9E3779B97F4A7C15, n, 1 << 64))
+
+
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours, by doubling."""
     have, out = 1, a

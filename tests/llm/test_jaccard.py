@@ -59,10 +59,9 @@ def cases():
 
 
 @pytest.mark.parametrize("pack_bytes", [4000, 1 << 22])
-def test_against_brute_force(spark, monkeypatch, pack_bytes):
-    monkeypatch.setattr(jj.pack_docs, "__defaults__", (pack_bytes, True))
+def test_against_brute_force(spark, pack_bytes):
     rows = cases()
-    got = jj.jaccard_join(table(spark, rows)).collect()
+    got = jj.jaccard_join(table(spark, rows), pack_bytes=pack_bytes).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
@@ -96,6 +95,20 @@ def test_components_of_long_chains(spark):
     assert all(got[k] == 0 for k in range(201)) and got[500] == got[400] == 300 and got[1099] == 1000
 
 
+def test_tiny_sets_share_no_empty_signature():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 1, 2, 2, 3, 3)]
+    found = np.concatenate([jj.signatures(s) for s in sets])
+    assert len(np.unique(found)) == len(found)
+
+
+def test_group_of_many_parts_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK", 3)
+    rows = cases()
+    got = jj.jaccard_join(table(spark, rows), buckets=3).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
 def test_nothing(spark):
     assert jj.jaccard_join(table(spark, [])).collect() == []
     got = jj.jaccard_join(table(spark, [(2, None), (1, "")])).collect()

@@ -14,10 +14,12 @@ minimiser can be equal:
    two packs; text around all others is unique and goes no further;
 2. the strings around shared minimisers go to the buckets, each distinct one of a
    pack once, with the smallest id that has it there;
-3. a bucket puts the windows of one minimiser in suffix order. With the ids in that
-   order, the nearest earlier and later window of a smaller id (the previous and next
-   smaller positions) give the longest previous factor; from ``LENGTH`` on the
-   window is a repetition. The answers go back and packs mark the bytes.
+3. a bucket puts the suffixes of the strings of one minimiser in suffix order, with the
+   common prefixes of neighbours. The nearest suffixes before and after one that have a
+   smaller id (the previous and next smaller positions) give its longest previous
+   factor, the least common prefix on the way; from ``LENGTH`` on its window is a
+   repetition. The answers go back and packs mark the bytes. A suffix ends with its
+   string, so factors are known up to ``LONGEST`` bytes, more than is asked.
 
 Defined results: a null text is empty; a null id is after every other, and null ids
 do not precede each other; rows with equal id and text do not precede each other; an
@@ -33,34 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialise, partitions
-from folioscope.llm.packs import CELLS, LOW48, NO_ID, bucket_of, cells, mix, pack, pack_docs, pack_hashes, sliding_min, unpack, unpack_hashes
+from folioscope.llm.common import materialise
+from folioscope.llm.packs import CELLS, LOW48, NO_ID, PACK_BYTES, bucket_count, bucket_of, cells, pack, pack_docs, pack_hashes, release, run_hashes, slices, sliding_min, tidy, unpack, unpack_hashes
 
 LENGTH, GRAM = 50, 24
+LONGEST = 2 * LENGTH - GRAM  # bytes that the windows of one minimiser cover at most
 CHUNK = 1 << 16
+SLICE = 1 << 19  # hashes of a bucket that are sorted at a time
+PART = 8192  # strings whose windows are sorted together, or those of one minimiser
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_B = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(int(_B), n, 1 << 64))
 
 
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
-    """Scrambled polynomial hash of the ``size`` bytes from each place on."""
-    have, h, out, done = 1, data.astype(np.uint64) + np.uint64(1), None, 0
-    while True:
-        if size & have:  # binary digits of the size, smallest first: append this power's hash
-            if out is None:
-                out, done = h, have
-            else:
-                n = min(len(h) - done, len(out))
-                out = out[:n] * _power(have) + h[done : done + n]
-                done += have
-        if done == size:
-            return mix(out[: len(data) - size + 1])
-        h = h[: len(h) - have] * _power(have) + h[have:]
-        have *= 2
+    """Hash of the ``size`` bytes from each place on."""
+    return run_hashes(data.astype(np.uint64) + np.uint64(1), size)
 
 
 def _no_runs() -> tuple[np.ndarray, ...]:
@@ -91,7 +79,7 @@ class Units:
         long = self.sizes >= LENGTH
         np.add.at(inside, self.starts[:-1][long], 1)
         np.add.at(inside, self.starts[:-1][long] + self.sizes[long] - LENGTH + 1, -1)
-        inside = np.cumsum(inside) > 0
+        inside = np.cumsum(inside, dtype=np.int32) > 0
         place_bits, out = np.uint64(17), []
         for low in range(0, total - LENGTH + 1, CHUNK):
             high = min(low + CHUNK, total - LENGTH + 1)
@@ -141,22 +129,36 @@ class Units:
         return (t0, t1), unit, list(seen), which, least, dealt
 
 
-def earlier(windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether the longest previous factor of each window reaches its whole length.
+def suffix_order(suffixes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp) of rows of bytes, zeros after their sizes: ``lcp[k]`` is the common prefix of the k-th and the one before it."""
+    keys = np.column_stack([suffixes, sizes.astype(np.uint8)])  # of rows that differ in zeros at their end the shorter one is first
+    order = np.argsort(keys.view(f"S{keys.shape[1]}").ravel(), kind="stable")
+    rows, sizes = suffixes[order], sizes[order]
+    apart = rows[1:] != rows[:-1]
+    lcp = np.where(apart.any(axis=1), apart.argmax(axis=1), suffixes.shape[1])
+    return order, np.concatenate([[0], np.minimum(lcp, np.minimum(sizes[1:], sizes[:-1]))]).astype(np.int64)
+
 
-    In suffix order, neighbours that agree for the whole length form runs; the
-    previous smaller id of a window lies in its run if the ids before it there go
-    below its own, and the next smaller one if those after it do.
+def longest_previous(ids: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest previous factor of each suffix in suffix order; one shorter than ``least`` counts as none.
+
+    The factor of a suffix is shared with the nearest suffix before it or after it in
+    this order that has a smaller id (the previous and the next smaller position). Both
+    are found by jumps: from a candidate that is not smaller on to its own candidate.
     """
-    order = np.argsort(windows, kind="stable")
-    run = np.concatenate([[0], np.cumsum(windows[order][1:] != windows[order][:-1])]).astype(np.int64)
-    _, rank = np.unique(ids, return_inverse=True)
-    rank = rank[order].astype(np.int64)
-    step = np.int64(len(ids) + 1)
-    before = np.minimum.accumulate(rank - run * step) + run * step  # least of the run so far
-    after = np.minimum.accumulate((rank + (run - run[-1]) * step)[::-1])[::-1] - (run - run[-1]) * step
-    out = np.zeros(len(ids), bool)
-    out[order] = (before < rank) | (after < rank)
+    out = np.zeros(len(ids), np.int64)
+    for turn in (1, -1):
+        own = ids[::turn]
+        length = lcp if turn == 1 else np.concatenate([lcp[:1], lcp[:0:-1]])
+        length = np.where(length >= least, length, 0)
+        at, live = np.arange(-1, len(ids) - 1), np.flatnonzero(length)
+        while len(live):
+            c = at[live]
+            more = own[c] >= own[live]
+            live, c = live[more], c[more]
+            at[live], length[live] = at[c], np.minimum(length[live], length[c])
+            live = live[length[live] > 0]
+        out = np.maximum(out, length[::turn])
     return out
 
 
@@ -166,15 +168,20 @@ def _tell(buckets: int):
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, _, told = Units(payload.as_py()).told(buckets)
                 yield from cells(number, {k: pack_hashes(v) for k, v in told.items()}).to_batches()
+                release()
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
+    """A bit for each hash of a cell: whether another pack has it as well."""
     told = [unpack_hashes(p.as_py()) for p in table.column("payload")]
-    values, n = np.unique(np.concatenate(told), return_counts=True)
-    hit = n > 1
-    answers = [np.packbits(hit[np.searchsorted(values, t)]).tobytes() for t in told]
+    hit = [np.zeros(len(t), bool) for t in told]
+    for ranges in slices(told, SLICE):
+        values, n = np.unique(np.concatenate([t[a:b] for t, (a, b) in zip(told, ranges, strict=True)]), return_counts=True)
+        for t, own, (a, b) in zip(told, hit, ranges, strict=True):
+            own[a:b] = n[np.searchsorted(values, t[a:b])] > 1
+    answers = [np.packbits(own).tobytes() for own in hit]
     return table.select(["pack", "bucket"]).append_column("payload", pa.array(answers, pa.binary()))
 
 
@@ -200,39 +207,55 @@ def _send(buckets: int):
 def _judge(table: pa.Table) -> pa.Table:
     """For each string sent, a bit for each of its windows: whether it stands in a smaller id."""
     told = [unpack(p.as_py()) for p in table.column("payload")]
-    groups: dict[bytes, dict[bytes, int]] = {}
+    least: dict[bytes, int] = {}
+    place: dict[bytes, int] = {}
     for strings, offsets, ids in told:
         for s, o, i in zip(strings, offsets, ids, strict=True):
-            group = groups.setdefault(s[o : o + GRAM], {})
-            if group.get(s, NO_ID) >= i:
-                group[s] = i
+            if least.get(s, NO_ID) >= i:
+                least[s] = i
+            place[s] = o
     masks: dict[bytes, int] = {}
-    part: list[tuple[bytes, int]] = []
-    for group in groups.values():  # a part holds whole groups: only windows of one minimiser can be equal
-        if len(group) > 1:
-            part += group.items()
-        if len(part) > 50_000:
-            masks |= _window_masks(part)
-            part = []
-    if part:
-        masks |= _window_masks(part)
+    part: list[tuple[bytes, int, int]] = []
+    group: list[bytes] = []
+    held = b""
+    for s in [*sorted(place, key=lambda s: s[place[s] : place[s] + GRAM]), b""]:
+        gram = s[place[s] : place[s] + GRAM] if s else b""
+        if gram != held or not s:  # a part holds whole groups: only windows of one minimiser can be equal
+            if len(group) > 1:
+                part += [(x, place[x], least[x]) for x in group]
+            if len(part) > PART or not s:
+                _window_masks(part, masks)
+                part = []
+            group, held = [], gram
+        group.append(s)
     answers = []
-    for strings, offsets, ids in told:
-        full = [(1 << (len(s) - LENGTH + 1)) - 1 for s in strings]
-        answers.append(pack([f if groups[s[o : o + GRAM]][s] < i else masks.get(s, 0) for s, o, i, f in zip(strings, offsets, ids, full, strict=True)]))
+    for strings, _, ids in told:
+        answers.append(pack([(1 << (len(s) - LENGTH + 1)) - 1 if least[s] < i else masks.get(s, 0) for s, i in zip(strings, ids, strict=True)]))
     return table.select(["pack", "bucket"]).append_column("payload", pa.array(answers, pa.binary()))
 
 
-def _window_masks(strings: list[tuple[bytes, int]]) -> dict[bytes, int]:
-    n = [len(s) - LENGTH + 1 for s, _ in strings]
-    windows = np.frombuffer(b"".join(s[t : t + LENGTH] for (s, _), k in zip(strings, n, strict=True) for t in range(k)), f"S{LENGTH}")
-    hit = earlier(windows, np.repeat(np.array([i for _, i in strings], np.int64), n))
-    out, at = {}, 0
-    for (s, _), k in zip(strings, n, strict=True):
-        mask = sum(1 << t for t in np.flatnonzero(hit[at : at + k]).tolist())
-        out[s] = out.get(s, 0) | mask
-        at += k
-    return out
+def _window_masks(strings: list[tuple[bytes, int, int]], masks: dict[bytes, int]) -> None:
+    """Adds the bits of (string, place of its minimiser, least id): windows whose longest previous factor is as long as they."""
+    if not strings:
+        return
+    sizes = np.fromiter((len(s) for s, _, _ in strings), np.int64, len(strings))
+    ids = np.array([i for _, _, i in strings], np.int64)
+    wide = 2 * LONGEST - LENGTH
+    data = np.frombuffer(b"".join(s.ljust(wide, b"\0") for s, _, _ in strings), np.uint8)
+    suffix = np.lib.stride_tricks.sliding_window_view(data, LONGEST)
+    n = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(strings)), n)
+    t = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    before = np.array([o for _, o, _ in strings], np.int64)[owner] - t  # equal windows have their minimiser at one place
+    order = np.argsort(before, kind="stable")
+    cuts = np.flatnonzero(np.diff(before[order])) + 1 if len(order) > 16 * PART else []
+    hit = np.zeros(len(owner), bool)
+    for rows in np.split(order, cuts):
+        by, lcp = suffix_order(suffix[owner[rows] * wide + t[rows]], sizes[owner[rows]] - t[rows])
+        hit[rows[by]] = longest_previous(ids[owner[rows]][by], lcp, LENGTH) >= LENGTH
+    bits = np.add.reduceat(hit.astype(np.int64) << t, np.cumsum(n) - n)
+    for (s, _, _), b in zip(strings, bits.tolist(), strict=True):
+        masks[s] = b
 
 
 def _remove(buckets: int, with_kept: bool):
@@ -261,7 +284,7 @@ def _remove(buckets: int, with_kept: bool):
                     if int(mask[i]) >> (t - int(t0[i])) & 1:
                         change[t] += 1
                         change[t + LENGTH] -= 1
-            gone = np.cumsum(change[:-1]) > 0
+            gone = np.cumsum(change[:-1], dtype=np.int32) > 0
             results = []
             for u, text in enumerate(units.texts):
                 part = gone[units.starts[u] : units.starts[u + 1]]
@@ -281,13 +304,13 @@ def _remove(buckets: int, with_kept: bool):
     return run
 
 
-def lpf_dedup(docs: DataFrame, with_kept: bool = False, buckets: int | None = None) -> DataFrame:
+def lpf_dedup(docs: DataFrame, with_kept: bool = False, buckets: int | None = None, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and the remaining bytes if asked for."""
-    n = buckets or partitions(docs.sparkSession)
-    packs = pack_docs(docs)
-    flags = materialise(packs.mapInArrow(_tell(n), CELLS).groupBy("bucket").applyInArrow(_shared, CELLS), "lpf-shared")
-    sent = packs.groupBy("pack").cogroup(flags.groupBy("pack")).applyInArrow(_send(n), CELLS)
-    masks = materialise(sent.groupBy("bucket").applyInArrow(_judge, CELLS), "lpf-masks")
+    packs = pack_docs(docs, pack_bytes)
+    n = buckets or bucket_count(packs, pack_bytes)
+    flags = materialise(packs.mapInArrow(_tell(n), CELLS).groupBy("bucket").applyInArrow(tidy(_shared), CELLS), "lpf-shared")
+    sent = packs.groupBy("pack").cogroup(flags.groupBy("pack")).applyInArrow(tidy(_send(n)), CELLS)
+    masks = materialise(sent.groupBy("bucket").applyInArrow(tidy(_judge), CELLS), "lpf-masks")
     told = flags.withColumn("kind", F.lit(0)).unionByName(masks.withColumn("kind", F.lit(1)))
     schema = SCHEMA + ", kept binary" * with_kept
-    return packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(_remove(n, with_kept), schema)
+    return packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(tidy(_remove(n, with_kept)), schema)

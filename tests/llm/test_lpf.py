@@ -53,20 +53,47 @@ def cases():
 
 
 @pytest.mark.parametrize("pack_bytes", [3000, 1 << 22])
-def test_against_brute_force(spark, monkeypatch, pack_bytes):
-    monkeypatch.setattr(lpf.pack_docs, "__defaults__", (pack_bytes,))
+def test_against_brute_force(spark, pack_bytes):
     rows = cases()
-    got = lpf.lpf_dedup(table(spark, rows), with_kept=True).collect()
+    got = lpf.lpf_dedup(table(spark, rows), with_kept=True, pack_bytes=pack_bytes).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
-def test_longest_previous_factors():
-    rng = np.random.default_rng(3)
-    windows = np.array([b"%050d" % k for k in rng.integers(0, 40, 500)], "S50")
-    ids = rng.integers(0, 30, 500)
-    want = [any(windows[j] == windows[i] and ids[j] < ids[i] for j in range(500)) for i in range(500)]
-    assert lpf.earlier(windows, ids).tolist() == want
+def common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("least", [1, 4])
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_previous_factors(seed, least):
+    """The array against its definition: the longest prefix shared with a suffix of a smaller id."""
+    rng = random.Random(seed)
+    suffixes = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    ids = np.array([rng.randrange(3 + 40 * seed) for _ in suffixes])
+    if seed == 5:  # long chains of candidates
+        suffixes, ids = [b"aaaa" + b"%04d" % k for k in range(150)], np.array([*range(1, 150), 0])
+    padded = np.frombuffer(b"".join(s.ljust(9, b"\0") for s in suffixes), np.uint8).reshape(-1, 9)
+    order, lcp = lpf.suffix_order(padded, np.array(list(map(len, suffixes))))
+    got = np.zeros(len(ids), np.int64)
+    got[order] = lpf.longest_previous(ids[order], lcp, least)
+    want = [max([common(s, t) for t, j in zip(suffixes, ids, strict=True) if j < i], default=0) for s, i in zip(suffixes, ids, strict=True)]
+    assert got.tolist() == [w if w >= least else 0 for w in want]
+
+
+def test_windows_of_one_minimiser_by_place(monkeypatch):
+    """A hot minimiser is worked off place by place, with the same answers."""
+    rng = random.Random(9)
+    text = bytes(rng.choice(b"xyz") for _ in range(24))
+    strings = [(bytes(rng.choice(b"ab") for _ in range(6)) * 3 + text + b"c" * 20 + b"%d" % (k % 7), 18, rng.randrange(50)) for k in range(300)]
+    whole, parts = {}, {}
+    lpf._window_masks(strings, whole)
+    monkeypatch.setattr(lpf, "PART", 2)
+    lpf._window_masks(strings, parts)
+    assert whole == parts and any(whole.values()) and not all(whole.values())
 
 
 def test_chunks_do_not_change_the_answer(spark, monkeypatch):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import links as L
@@ -61,7 +62,8 @@ def degrees(edges: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def reverse_links(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("t").agg(F.array_sort(F.collect_set("s")).alias("sources"))
+    """(t, s): the sources of every page, a row each, so a hub of the corpus is no single row."""
+    return edges.select("t", "s").distinct()
 
 
 def ego(edges: DataFrame, center: str) -> DataFrame:
@@ -70,46 +72,93 @@ def ego(edges: DataFrame, center: str) -> DataFrame:
     return rows.withColumn("direction", F.when(F.col("s") == center, "out").otherwise("in"))
 
 
-def ego_rows(edges: DataFrame) -> DataFrame:
-    """(page_id, ego): the nested in and out lists of every page."""
+def ego_edges(edges: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """(page_id, direction, other, kind, title, other_kind): the neighbours of every page, a row each.
+
+    Names of the other end come from the catalogue (page_id, title, kind); one that is
+    not there stands for itself: its id is its title and its kind is ``page``.
+    """
+    once = edges.select(*EDGE).distinct()
+    rows = once.select(F.col("s").alias("page_id"), F.lit("out").alias("direction"), F.col("t").alias("other"), F.col("k").alias("kind"))
+    rows = rows.unionByName(once.select(F.col("t").alias("page_id"), F.lit("in").alias("direction"), F.col("s").alias("other"), F.col("k").alias("kind")))
+    if catalog is None:
+        return rows
+    names = catalog.select(F.col("page_id").alias("other"), F.col("title"), F.col("kind").alias("other_kind"))
+    return rows.join(names, "other", "left").select("page_id", "direction", "other", "kind", F.coalesce("title", "other").alias("title"), F.coalesce("other_kind", F.lit("page")).alias("other_kind"))
+
+
+def ego_rows(edges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(page_id, ego): the nested in and out lists of the asked pages, or of every page."""
     once = edges.select(*EDGE).distinct()
+    if asked is not None:
+        ids = asked.select("page_id").distinct()
+        mine = lambda c: once.join(ids.withColumnRenamed("page_id", c), c, "left_semi")
+        once = mine("s").unionByName(mine("t")).distinct()
     i = once.groupBy(F.col("t").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("from"), F.col("k").alias("kind")))).alias("in"))
     o = once.groupBy(F.col("s").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("t").alias("to"), F.col("k").alias("kind")))).alias("out"))
     empty_i, empty_o = (F.array().cast(f"array<struct<{c}:string,kind:string>>") for c in ("from", "to"))
-    return i.join(o, "page_id", "full").select("page_id", F.struct(F.coalesce("in", empty_i).alias("in"), F.coalesce("out", empty_o).alias("out")).alias("ego"))
+    out = i.join(o, "page_id", "full").select("page_id", F.struct(F.coalesce("in", empty_i).alias("in"), F.coalesce("out", empty_o).alias("out")).alias("ego"))
+    return out if asked is None else out.join(ids, "page_id", "left_semi")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("s").alias("a"), F.col("t").alias("b")).unionByName(edges.select(F.col("t").alias("a"), F.col("s").alias("b"))).where("a != b").distinct()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where a session names none, a temporary one of this process, which only a local session can use."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = getattr(spark, "_folioscope_graph", None)
+        if not folder:
+            warnings.warn("spark.checkpoint.dir is not set; a temporary local folder is used", stacklevel=2)
+            folder = spark._folioscope_graph = tempfile.mkdtemp(prefix="folioscope-graph-")
+    return folder.rstrip("/")
+
+
+_written: list[str] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder and read back.
+    """The frame written to the shared folder and read back; ``sweep`` removes it.
 
     A loop's plan then does not hold its input many times over, and a lost executor
-    costs a reread. Where the session names no folder (local tests), a temporary one.
+    costs a reread.
     """
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{(folder or tempfile.mkdtemp()).rstrip('/')}/folioscope-graph/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/folioscope-graph/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Remove what ``kept`` has written in this process; call it when no result that rests on it is still to be read."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def khop(edges: DataFrame, seeds: DataFrame, depth: int, through: DataFrame | None = None) -> DataFrame:
-    """(page_id, dist) within ``depth`` steps of the seeds, either way.
+    """(page_id, dist) within ``depth`` steps of the seeds, either way, each page once.
 
-    One join of the frontier with the edges a step, at most ``depth`` of them, then the
-    least distance; a step never looks back, so the plan is a chain and runs as one job.
+    A step joins the frontier with the edges and drops what was met before, so no page
+    is expanded twice; frontiers after the first are written, so the plan stays a chain.
     ``through`` limits the pages that are expanded further.
     """
-    steps = kept(undirected(edges))
+    steps = kept(undirected(edges)) if depth > 1 else undirected(edges)
     found = frontier = seeds.select("page_id", F.lit(0).alias("dist")).distinct()
     for n in range(depth):
         at = frontier if through is None else frontier.join(through.select("page_id"), "page_id", "left_semi")
-        frontier = steps.join(at.select(F.col("page_id").alias("a")), "a", "left_semi").select(F.col("b").alias("page_id"), F.lit(n + 1).alias("dist")).distinct()
+        near = steps.join(at.select(F.col("page_id").alias("a")), "a", "left_semi").select(F.col("b").alias("page_id")).distinct()
+        frontier = near.join(found.select("page_id"), "page_id", "left_anti").withColumn("dist", F.lit(n + 1))
+        if n + 1 < depth:
+            frontier = kept(frontier)
         found = found.unionByName(frontier)
-    return found.groupBy("page_id").agg(F.min("dist").alias("dist"))
+    return found
 
 
 def proximity(near: DataFrame) -> DataFrame:
@@ -201,3 +250,41 @@ def graph_view(view: str, parsed: DataFrame, raw_files: DataFrame | None = None,
     if view == "recent":
         return recent
     raise ValueError(f"no such view: {view}")
+
+
+#: What viewers of the graph are told: hidden kinds, views and their layout engines.
+SETTINGS = {
+    "hidden_kinds": ("query",),
+    "default_view": "knowledge",
+    "views": ("knowledge", "recent", "navigation", "lineage"),
+    "engines": {"knowledge": "forceatlas2", "recent": "bipartite", "navigation": "tree", "lineage": "dag"},
+}
+#: Pull between a page's kind and those of its neighbours, in the order of the first row.
+AFFINITY = (
+    ("kind", "entity", "concept", "summary", "synthesis", "query", "index"),
+    ("entity", 0.8, 1.2, 1.0, 1.0, 0.8, 0.8),
+    ("concept", 1.2, 0.8, 1.0, 1.2, 1.0, 0.8),
+    ("summary", 1.0, 1.0, 0.5, 1.0, 0.8, 0.6),
+    ("synthesis", 1.0, 1.2, 1.0, 0.8, 1.0, 0.8),
+    ("query", 0.8, 1.0, 0.8, 1.0, 0.5, 0.5),
+    ("index", 0.8, 0.8, 0.6, 0.8, 0.5, 0.5),
+)
+
+
+def affinities(spark: SparkSession) -> DataFrame:
+    """(kind, other, pull) of the settings."""
+    rows = [(row[0], other, pull) for row in AFFINITY[1:] for other, pull in zip(AFFINITY[0][1:], row[1:], strict=True)]
+    return spark.createDataFrame(rows, "kind string, other string, pull double")
+
+
+def priority_labels(nodes: DataFrame) -> DataFrame:
+    """(page_id) of the nodes whose label is always shown: the 14 % of most neighbours, 8 at least and 18 at most."""
+    wanted = nodes.agg(F.greatest(F.lit(8), F.least(F.lit(18), F.ceil(F.count("*") * F.lit(14) / 100))).alias("n")).scalar()
+    top = nodes.select("page_id", "degree").orderBy(F.desc("degree"), "page_id").limit(18)
+    ranked = top.withColumn("n", F.row_number().over(Window.orderBy(F.desc("degree"), "page_id")))  # of 18 rows
+    return ranked.where(F.col("n") <= wanted).select("page_id")
+
+
+def canonical(table: DataFrame) -> DataFrame:
+    """Rows in the order in which artifacts are written: edges by their ends and kind, all else by the first column."""
+    return table.orderBy(*(EDGE if set(EDGE) <= set(table.columns) else table.columns[:1]))

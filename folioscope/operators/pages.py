@@ -207,3 +207,9 @@ def snippets(pages: DataFrame, query_tokens: list[str], limit: int = 260) -> Dat
     hit = F.arrays_overlap(T.tokens(F.col("line")), wanted)
     best = rows.groupBy("page_id").agg(F.min_by("line", F.struct(~hit, "line_no")).alias("snippet"))
     return best.select("page_id", F.rtrim(F.substring("snippet", 1, limit)).alias("snippet"))
+
+
+def ordered_text(chunked: DataFrame) -> DataFrame:
+    """(page_id, text): the chunks of each page in order, a blank line between them."""
+    parts = F.array_sort(F.collect_list(F.struct("ordinal", "body")))["body"]
+    return chunked.groupBy("page_id").agg(F.array_join(parts, "\n\n").alias("text"))

@@ -142,3 +142,17 @@ def latest_batch(entries: DataFrame, op: str = "ingest") -> DataFrame:
 def touched_heads(commits: DataFrame) -> DataFrame:
     """(head, n): changed paths by their first folder."""
     return commits.select(F.explode("files").alias("path")).groupBy(F.substring_index("path", "/", 1).alias("head")).agg(F.count("*").alias("n"))
+
+
+def ordered_entries(entries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Entries newest first: by date, time and id."""
+    out = entries.orderBy(F.desc("date"), F.desc("time"), F.desc("entry_id"))
+    return out if limit is None else out.limit(limit)
+
+
+def touched_nodes(recent: DataFrame, nodes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(page_id, title, kind) of the pages that entries touched; what a page's own node says wins over the catalogue."""
+    ids = recent.select(F.explode("touched").alias("page_id")).distinct()
+    own = nodes.select("page_id", F.col("title").alias("_t"), F.col("kind").alias("_k"))
+    out = ids.join(own, "page_id", "left").join(catalog.select("page_id", "title", "kind"), "page_id", "left")
+    return out.select("page_id", F.coalesce("_t", "title", "page_id").alias("title"), F.coalesce("_k", "kind", F.lit("page")).alias("kind"))

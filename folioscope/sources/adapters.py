@@ -68,6 +68,12 @@ _CUSTOMER_BODY = f"""concat('---', {NL}, 'title: ', c_name, {NL}, {_when("c_cust
 
 _SUPPLIER_SUMMARY = f"concat(s_name, ' has ', s_suppkey % 5 + 1, ' gb of stock in [home](', {_S}, '). Shared Model has ', s_suppkey % 3 + 1, 'k tokens.')"
 
+#: The index page's summary: its first lines, joined, as far as a summary goes. Only what pages are compared with needs it.
+_INDEX_SUMMARY = {
+    "spark": "'- plain entry'",
+    "duckdb": """(SELECT rtrim(substr(string_agg(l, ' ' ORDER BY k), 1, 260)) FROM (SELECT k, l, coalesce(sum(length(l) + 1) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM (
+ SELECT -1 AS k, '- plain entry' AS l UNION ALL SELECT n_nationkey, concat('- [', n_name, '](/entities/nation-', n_nationkey, '.md)') FROM nation WHERE n_nationkey % 5 <> 4) i) j WHERE taken - 1 <= 220)""",
+}
 _INDEX = {
     "spark": "array_join(transform(array_sort(collect_list(struct(k, l))), x -> x.l), '')",
     "duckdb": "string_agg(l, '' ORDER BY k)",
@@ -90,7 +96,7 @@ UNION ALL
 SELECT concat('wiki/customers/customer-', c_custkey, '.md'), c_name, CASE WHEN c_custkey % 6 <> 0 THEN 'customer' ELSE 'page' END, concat(lower(c_mktsegment), ',customer'),
  {_day(1, "c_custkey")}, {_day(2, "c_custkey")}, concat('Customer ', c_name, ' lives in [nation](', {_C}, ').'), {_CUSTOMER_BODY} FROM customer
 UNION ALL
-SELECT 'wiki/index.md', 'Index', 'index', '', NULL, NULL, '- plain entry', concat('---', {NL}, 'title: Index', {NL}, '---', {NL}, '# Index', {NL}, {NL}, '## Entities', {NL}, {NL},
+SELECT 'wiki/index.md', 'Index', 'index', '', NULL, NULL, {_INDEX_SUMMARY[engine]}, concat('---', {NL}, 'title: Index', {NL}, '---', {NL}, '# Index', {NL}, {NL}, '## Entities', {NL}, {NL},
  '- plain entry', {NL}, (SELECT {agg} FROM (SELECT n_nationkey AS k, concat('- [', n_name, '](/entities/nation-', n_nationkey, '.md)', {NL}) AS l FROM nation WHERE n_nationkey % 5 <> 4) a),
  {NL}, '## Concepts', {NL}, {NL}, (SELECT {agg} FROM (SELECT s_suppkey AS k, concat('- [', s_name, '](/concepts/supplier-', s_suppkey, '.md)', {NL}) AS l FROM supplier WHERE s_suppkey % 3 <> 0) b))
 """

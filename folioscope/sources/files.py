@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from collections.abc import Iterable
@@ -42,9 +43,9 @@ def raw_scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 def log_scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, body) of daily logs, newest first."""
+    """(path, body) of daily logs; the reader orders them, a source does not sort."""
     rows = _files(spark, root, "*.md").select(_relative(root).alias("path"), F.decode("content", "UTF-8").alias("body"))
-    return rows.where(F.col("path").rlike(r"\Alog/\d{8}\.md\z")).orderBy(F.desc("path"))
+    return rows.where(F.col("path").rlike(r"\Alog/\d{8}\.md\z"))
 
 
 def audit_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -123,11 +124,51 @@ def commit_log(spark: SparkSession, root: str, days: int, now) -> DataFrame:
 
 
 def union_changes(parts: Iterable[DataFrame]) -> DataFrame:
-    """All sources of change as one, each page once; a deletion gives way to anything newer."""
+    """All sources of change as one, oldest source first, each page once with its newest change.
+
+    So a page that was committed and then removed from the working tree is removed, and
+    one that was removed and then written again is there.
+    """
     out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return out.groupBy("page_id").agg(F.max("old_page_id").alias("old_page_id"), F.max("change").alias("change"))
+    for n, p in enumerate(parts):
+        one = p.select("page_id", "old_page_id", "change", F.lit(n).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    newest = F.struct("n", "change")  # of equal age the order of the words decides, so that the answer is fixed
+    old = F.max_by("old_page_id", F.when(F.col("old_page_id").isNotNull(), F.col("n")))
+    return out.groupBy("page_id").agg(old.alias("old_page_id"), F.max_by("change", newest).alias("change"))
+
+
+def scoped_stats(stats: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows of a stat scan (path, ...) for pages that were changed and still exist."""
+    wanted = changes.where("change != 'delete'").select(F.col("page_id").alias("path")).distinct()
+    return stats.join(wanted, "path", "left_semi")
+
+
+def largest(stats: DataFrame, n: int = 20) -> DataFrame:
+    return stats.orderBy(F.desc("size_bytes"), "path").limit(n)
+
+
+def tag_scan(spark: SparkSession, root: str, prefix: str = "ckpt/") -> DataFrame:
+    """(tag, hash, created_at) of a repository's checkpoint tags, newest first."""
+    from datetime import UTC, datetime
+
+    text = _git(root, "for-each-ref", f"refs/tags/{prefix.rstrip('/')}", "--format=%(refname:strip=2)%01%(objectname)%01%(*objectname)%01%(creatordate:unix)").decode("utf-8", "surrogateescape")
+    rows = []
+    for line in text.splitlines():
+        tag, own, target, stamp = line.split("\x01")
+        rows.append((tag, target or own, datetime.fromtimestamp(int(stamp), UTC).replace(tzinfo=None)))
+    return spark.createDataFrame(rows, "tag string, hash string, created_at timestamp").orderBy(F.desc("created_at"), F.desc("tag"))
+
+
+def head_of(root: str) -> str | None:
+    """The commit that a clean working tree stands on; none if it is not clean or no repository of its own."""
+    try:
+        top = _git(root, "rev-parse", "--show-toplevel").decode().strip()
+        if os.path.realpath(top) != os.path.realpath(root) or _git(root, "status", "--porcelain", "--", "wiki").strip():
+            return None
+        return _git(root, "rev-parse", "HEAD").decode().strip()
+    except (OSError, subprocess.CalledProcessError):
+        return None
 
 
 def scaffold(spark: SparkSession) -> dict[str, DataFrame]:

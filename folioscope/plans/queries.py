@@ -8,7 +8,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions import links as L
 from folioscope.functions import text as T
 from folioscope.operators import audits as U
 from folioscope.operators import graph as G
@@ -21,6 +20,7 @@ from folioscope.operators import scan as S
 from folioscope.operators import store as D
 from folioscope.plans import oracle as O
 from folioscope.sources import adapters as A
+from folioscope.sources import files as X
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,11 +52,17 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed pages and edges, both written and reread: the steps of a graph query read them many times."""
+    """Parsed pages and edges, both written and reread, for queries whose steps read them many times."""
     p = G.kept(parsed(spark, sf_dir))
     return p, G.kept(G.knowledge_graph(p))
 
 
+def linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed pages and edges as one lazy plan, for queries that read each once: every use parses only its own columns."""
+    p = parsed(spark, sf_dir)
+    return p, G.knowledge_graph(p)
+
+
 def seed_pages(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*map(F.lit, SEEDS))).alias("page_id"))
 
@@ -80,9 +86,10 @@ def frontmatter(spark, sf_dir):
 
 
 @query(f"""SELECT {O._NAT} AS page_id, 'geo,' || lower(n_name) AS tags, 'raw/nations.md' AS sources FROM nation UNION ALL
- SELECT {O._SUP}, 'supply,tier' || (s_suppkey % 3), 'raw/suppliers.md,wiki/entities/nation-' || s_nationkey || '.md,https://example.org/s' FROM supplier""")
+ SELECT {O._SUP}, 'supply,tier' || (s_suppkey % 3), 'raw/suppliers.md,wiki/entities/nation-' || s_nationkey || '.md,https://example.org/s' FROM supplier UNION ALL
+ SELECT {O._CUS}, lower(c_mktsegment) || ',customer', CASE WHEN c_custkey % 3 = 0 THEN 'raw/customers.md' ELSE '' END FROM customer UNION ALL SELECT {O._REG}, 'geo,region', '' FROM region UNION ALL SELECT 'wiki/index.md', '', ''""")
 def frontmatter_block(spark, sf_dir):
-    return parsed(spark, sf_dir).where("size(sources) > 0 and page_id not like 'wiki/customers/%'").select("page_id", *text_of("tags", "sources"))
+    return parsed(spark, sf_dir).select("page_id", *text_of("tags", "sources"))
 
 
 @query(f"SELECT {O._NAT} AS page_id, 'https://example.org/nation/' || n_nationkey AS urls FROM nation")
@@ -100,9 +107,9 @@ def page_kind(spark, sf_dir):
     return parsed(spark, sf_dir).select("page_id", "kind")
 
 
-@query(f"WITH {O.STAR} SELECT page_id, summary FROM star WHERE page_id <> 'wiki/index.md'")
+@query(f"WITH {O.STAR} SELECT page_id, summary FROM star")
 def page_summary(spark, sf_dir):
-    return P.summaries(star(spark, sf_dir)).where("page_id != 'wiki/index.md'")
+    return P.summaries(star(spark, sf_dir))
 
 
 @query(f"""WITH {O.STAR} SELECT page_id, title AS display_name, CASE WHEN page_id = 'wiki/index.md' THEN 'Index' ELSE string_split(page_id, '/')[2] || ' / ' || title END AS qualified_name,
@@ -151,15 +158,13 @@ def format_link(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.format_link(F.col("p_name"), F.col("p_type")).alias("link"))
 
 
-@query("""SELECT doc_id, CASE WHEN n >= 1024 THEN format('{:.1f}', n / 1024.0) || ' KB' ELSE n || ' B' END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents) WHERE n < 1048576""")
+@query("""SELECT doc_id, CASE WHEN n >= 1099511627776 THEN format('{:.1f}', n / 1099511627776.0) || ' TB' WHEN n >= 1073741824 THEN format('{:.1f}', n / 1073741824.0) || ' GB' WHEN n >= 1048576 THEN format('{:.1f}', n / 1048576.0) || ' MB'
+ WHEN n >= 1024 THEN format('{:.1f}', n / 1024.0) || ' KB' ELSE n || ' B' END AS size, CASE WHEN m >= 1099511627776 THEN format('{:.1f}', m / 1099511627776.0) || ' TB' WHEN m >= 1073741824 THEN format('{:.1f}', m / 1073741824.0) || ' GB' WHEN m >= 1048576 THEN format('{:.1f}', m / 1048576.0) || ' MB'
+ WHEN m >= 1024 THEN format('{:.1f}', m / 1024.0) || ' KB' ELSE m || ' B' END AS scaled FROM (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n, CAST(strlen(text) AS BIGINT) * (1 + doc_id % 4 * 40000000) AS m FROM documents)""")
 def human_bytes(spark, sf_dir):
-    n = F.octet_length("text")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where(n < 1 << 20).select("doc_id", T.human_bytes(n).alias("size"))
-
-
-@query()
-def human_bytes_all(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.human_bytes(F.octet_length("text")).alias("size"))
+    """Sizes of all texts, and multiples of them that reach every unit."""
+    n = F.octet_length("text").cast("long")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.human_bytes(n).alias("size"), T.human_bytes(n * (1 + F.col("doc_id") % 4 * 40_000_000)).alias("scaled"))
 
 
 _DOCS = "docs AS MATERIALIZED (SELECT 'wiki/documents/' || doc_id || '.md' AS page_id, 'Document ' || doc_id AS title, source AS kind, lang, text FROM documents)"
@@ -181,7 +186,7 @@ def token_counts(spark, sf_dir):
  SELECT 'chunk:' || substr(sha256(page_id || chr(0) || heading_path || chr(0) || ordinal || chr(0) || body), 1, 32) AS chunk_id, page_id, CAST(ordinal AS INT) AS ordinal, heading, heading_path,
   CAST(ceil(length(body) / 4.0) AS BIGINT) AS token_count, CAST(start_line AS INT) AS start_line, CAST(start_line + length(body) - length(replace(body, chr(10), '')) AS INT) AS end_line FROM p""")
 def chunks(spark, sf_dir):
-    return P.chunks(star(spark, sf_dir), max_tokens=1 << 20, allow_split=False).select("chunk_id", "page_id", "ordinal", "heading", "heading_path", "token_count", "start_line", "end_line")
+    return P.chunks(star(spark, sf_dir)).select("chunk_id", "page_id", "ordinal", "heading", "heading_path", "token_count", "start_line", "end_line")
 
 
 @query()
@@ -222,23 +227,23 @@ def link_liveness(spark, sf_dir):
 
 @query(f"WITH {O.GRAPH} SELECT s, t, k, CAST(w AS BIGINT) AS w FROM edges")
 def edge_weights(spark, sf_dir):
-    return knowledge(spark, sf_dir)[1].select("s", "t", "k", "w")
+    return linked(spark, sf_dir)[1].select("s", "t", "k", "w")
 
 
 @query(f"WITH {O.GRAPH} SELECT s, t, count(*) AS kinds, CAST(sum(w) AS BIGINT) AS w FROM edges GROUP BY 1, 2")
 def knowledge_graph(spark, sf_dir):
-    return knowledge(spark, sf_dir)[1].groupBy("s", "t").agg(F.count("*").alias("kinds"), F.sum("w").alias("w"))
+    return linked(spark, sf_dir)[1].groupBy("s", "t").agg(F.count("*").alias("kinds"), F.sum("w").alias("w"))
 
 
 @query(f"WITH {O.GRAPH}, {O.DEGREES} SELECT *, inbound + outbound AS degree FROM deg")
 def degrees(spark, sf_dir):
-    p, e = knowledge(spark, sf_dir)
+    p, e = linked(spark, sf_dir)
     return G.degrees(e, p)
 
 
-@query(f"WITH {O.GRAPH} SELECT t, string_agg(DISTINCT s, ',' ORDER BY s) AS sources FROM edges GROUP BY 1")
+@query(f"WITH {O.GRAPH} SELECT DISTINCT t, s FROM edges")
 def reverse_links(spark, sf_dir):
-    return G.reverse_links(knowledge(spark, sf_dir)[1]).select("t", *text_of("sources"))
+    return G.reverse_links(linked(spark, sf_dir)[1])
 
 
 @query(f"""WITH {O.GRAPH}, {O.FILES}, strict AS (SELECT page_id, href, CASE WHEN href LIKE '/%' THEN 'wiki' || href WHEN href LIKE 'wiki/%' THEN href END AS t FROM links)
@@ -257,13 +262,13 @@ def frequent_missing(spark, sf_dir):
 
 @query(f"WITH {O.GRAPH} SELECT page_id FROM star WHERE page_id <> 'wiki/index.md' AND page_id NOT IN (SELECT t FROM edges)")
 def orphans(spark, sf_dir):
-    p, e = knowledge(spark, sf_dir)
+    p, e = linked(spark, sf_dir)
     return Q.orphans(p, e).select("page_id")
 
 
 @query(f"WITH {O.GRAPH} SELECT page_id FROM star WHERE page_id <> 'wiki/index.md' AND page_id NOT IN (SELECT t FROM edges WHERE s = 'wiki/index.md')")
 def missing_index(spark, sf_dir):
-    p, e = knowledge(spark, sf_dir)
+    p, e = linked(spark, sf_dir)
     return Q.missing_index(p, e).select("page_id")
 
 
@@ -308,9 +313,7 @@ def non_link_bullets(spark, sf_dir):
  SELECT page_id, item FROM src WHERE item NOT IN (SELECT path FROM files)""")
 def dead_sources(spark, sf_dir):
     p = parsed(spark, sf_dir)
-    rows = p.select("page_id", F.explode("sources").alias("item")).where(~F.col("item").rlike(L.EXTERNAL))
-    files = A.catalog_files(p).select(F.col("path").alias("item")).distinct()
-    return rows.join(files, "item", "left_anti").select("page_id", "item")
+    return Q.dead_sources(p, A.catalog_files(p)).select("page_id", F.col("subject").alias("item"))
 
 
 @query("SELECT 'wiki/concepts/supplier-' || s_suppkey || '.md' AS page_id, 'outdated' AS marker, 'This page is outdated and needs verification.' AS excerpt FROM supplier WHERE s_suppkey % 12 = 0")
@@ -334,7 +337,7 @@ def claim_conflicts(spark, sf_dir):
 
 @query(f"WITH {O.GRAPH} SELECT DISTINCT s, t, k, CASE WHEN s = '{CENTER}' THEN 'out' ELSE 'in' END AS direction FROM edges WHERE s = '{CENTER}' OR t = '{CENTER}'")
 def ego_graph(spark, sf_dir):
-    return G.ego(knowledge(spark, sf_dir)[1], CENTER)
+    return G.ego(linked(spark, sf_dir)[1], CENTER)
 
 
 _SEED_ROWS = " UNION ALL ".join(f"SELECT '{s}' AS page_id" for s in SEEDS)
@@ -344,7 +347,7 @@ _HOPS = f"""{O.GRAPH}, {O.BOTH}, h0 AS MATERIALIZED ({_SEED_ROWS}), h1 AS MATERI
 
 @query(f"WITH {_HOPS} SELECT page_id, dist FROM near")
 def khop(spark, sf_dir):
-    return G.khop(knowledge(spark, sf_dir)[1], seed_pages(spark), 2)
+    return G.khop(linked(spark, sf_dir)[1], seed_pages(spark), 2)
 
 
 @query(f"WITH {_HOPS} SELECT page_id, round(CASE WHEN dist = 0 THEN 1.25 ELSE 1 / (dist + CAST(0.35 AS DOUBLE)) END, 6) AS rel FROM near")
@@ -452,8 +455,10 @@ def html_frequent_missing(spark, sf_dir):
 
 
 def ranked_pages(spark, sf_dir):
-    p, e = knowledge(spark, sf_dir)
-    return p.join(P.summaries(p.select("page_id", "body")), "page_id"), e
+    """Pages with their summaries, written once as every step of the ranking reads some of them, and edges."""
+    pages_ = star(spark, sf_dir)
+    p = G.kept(P.parse_pages(pages_).drop("frontmatter", "plain", "sha256").join(P.summaries(pages_), "page_id"))
+    return p, G.knowledge_graph(p)
 
 
 DOC_WORDS = "license that was"
@@ -477,7 +482,7 @@ def _bags(source: str, title: str, tags: str, summary: str, body: str, words: li
 @query(f"WITH {_DOCS}, {_bags('docs', 'title', 'lang', chr(39) * 2, 'text', DOC_WORDS.split())} SELECT page_id, round(lexical, 6) AS lexical FROM lex")
 def lexical_rank(spark, sf_dir):
     p = A.doc_pages(spark, sf_dir)
-    return R.lexical(R.token_bags(p), R.query_tokens(spark, DOC_WORDS)).select("page_id", F.round("lexical", 6).alias("lexical"))
+    return R.lexical(p, R.query_tokens(spark, DOC_WORDS)).select("page_id", F.round("lexical", 6).alias("lexical"))
 
 
 _SEEN = "kept AS MATERIALIZED (SELECT * FROM star WHERE page_id <> 'wiki/index.md')"
@@ -528,12 +533,12 @@ def interest_terms(spark, sf_dir):
     return R.interest_terms(profile)
 
 
-@query(f"""WITH {O.STAR}, {_SEEN}, {_bags('kept', 'title', "replace(tags, ',', ' ')", 'summary', 'body')}, ip AS (SELECT page_id, sum(plus * (CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM ti) THEN 240 ELSE 0 END
+@query(f"""WITH {O.STAR}, {_bags('star', 'title', "replace(tags, ',', ' ')", 'summary', 'body')}, ip AS (SELECT page_id, sum(plus * (CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM ti) THEN 240 ELSE 0 END
  + CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM tg) THEN 200 ELSE 0 END + CASE WHEN (page_id, token) IN (SELECT (page_id, token) FROM su) THEN 120 ELSE 0 END + least(180, 18 * tf)) - minus * 140) AS p
  FROM tf JOIN {_TERMS} USING (token) GROUP BY 1) SELECT page_id, round(4 * (CAST(p AS DOUBLE) / 10000) / norm, 6) AS interest FROM ip JOIN norm USING (page_id)""")
 def interest_rank(spark, sf_dir):
     p, _ = ranked_pages(spark, sf_dir)
-    return R.interest(R.token_bags(p.where("page_id != 'wiki/index.md'")), interest_terms(spark, sf_dir)).select("page_id", F.round("interest", 6).alias("interest"))
+    return R.interest(p, interest_terms(spark, sf_dir)).select("page_id", F.round("interest", 6).alias("interest"))
 
 
 @query(f"""WITH {_DOCS}, t AS MATERIALIZED ({O.tokens('docs', 'text')}) SELECT page_id, count(DISTINCT page_id) AS hits FROM t WHERE token IN ('license', 'tionre', 'stock') GROUP BY 1""")
@@ -654,17 +659,51 @@ def audit_priority(spark, sf_dir):
     return priced(spark, sf_dir).select("event_id", "signal", "age_days", "anchor_key", "priority")
 
 
-@query(f"""WITH {_AUDITS}, k AS MATERIALIZED (SELECT * FROM p WHERE signal OR mode = 'open'), d AS MATERIALIZED (SELECT key, string_agg(x || '=' || n, ',' ORDER BY x) AS severities FROM (SELECT key, type AS x, count(*) AS n FROM k GROUP BY 1, 2) GROUP BY 1)
+@query(f"""WITH {_AUDITS}, k AS MATERIALIZED (SELECT * FROM p WHERE signal OR mode = 'open'), d AS MATERIALIZED (SELECT key, string_agg(x || '=' || n, ',' ORDER BY x) AS severities FROM (SELECT key, type AS x, count(*) AS n FROM k GROUP BY 1, 2) GROUP BY 1),
+ c AS MATERIALIZED (SELECT key, string_agg(x || '=' || n, ',' ORDER BY x) AS decisions FROM (SELECT key, coalesce(decision, mode) AS x, count(*) AS n FROM k GROUP BY 1, 2) GROUP BY 1)
  SELECT key, min(target) AS target, count(*) AS n, CAST(sum(CASE WHEN mode = 'open' THEN 1 ELSE 0 END) AS BIGINT) AS open_n, CAST(sum(CASE WHEN mode = 'open' AND stale THEN 1 ELSE 0 END) AS BIGINT) AS stale_n,
-  CAST(sum(priority) + CASE WHEN count(*) > 1 THEN 20 ELSE 0 END AS BIGINT) AS priority, list_extract(['error', 'warn', 'suggest', 'info'], CAST(min(CASE type WHEN 'error' THEN 1 WHEN 'warn' THEN 2 WHEN 'suggest' THEN 3 ELSE 4 END) AS INT)) AS top_type, any_value(severities) AS severities
- FROM k JOIN d USING (key) GROUP BY 1""")
+  CAST(sum(priority) + CASE WHEN count(*) > 1 THEN 20 ELSE 0 END AS BIGINT) AS priority, list_extract(['error', 'warn', 'suggest', 'info'], CAST(min(CASE type WHEN 'error' THEN 1 WHEN 'warn' THEN 2 WHEN 'suggest' THEN 3 ELSE 4 END) AS INT)) AS top_type, any_value(severities) AS severities, any_value(decisions) AS decisions
+ FROM k JOIN d USING (key) JOIN c USING (key) GROUP BY 1""")
 def audit_clusters(spark, sf_dir):
-    return U.clusters(priced(spark, sf_dir)).drop("decisions")
+    return U.clusters(priced(spark, sf_dir))
 
 
-@query(f"WITH {_AUDITS} SELECT target, count(*) AS n FROM p GROUP BY 1")
+_AUDIT_ID = "strftime(ts, '%Y%m%d-%H%M%S') || '-' || lpad(format('{:x}', event_id % 65536), 4, '0')"
+_GRAVITY = "CASE type WHEN 'error' THEN 1 WHEN 'warn' THEN 2 WHEN 'suggest' THEN 3 ELSE 4 END"
+
+
+@query(f"WITH {_AUDITS}, i AS (SELECT *, {_AUDIT_ID} AS id FROM a) SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY {_GRAVITY}, ts, id) AS INT) AS place, id, type FROM i")
 def audit_by_target(spark, sf_dir):
-    return U.by_target(A.event_audits(spark, sf_dir)).select("target", "n")
+    return U.by_target(A.event_audits(spark, sf_dir)).select("target", "place", "id", "type")
+
+
+@query(f"WITH {_AUDITS} SELECT {_AUDIT_ID} AS id, target, mode FROM a WHERE target = 'wiki/users/u7.md'")
+def audit_list(spark, sf_dir):
+    return U.listed(A.event_audits(spark, sf_dir), "all", "wiki/users/u7.md").select("id", "target", "mode")
+
+
+@query(f"""WITH {_AUDITS} SELECT {_AUDIT_ID} AS id, target, type, mode, coalesce(CASE WHEN event_id % 2 = 0 THEN 'L' || (user_id % 3 + 1) || '-L' || (user_id % 3 + 2) END, '') AS place,
+ CASE WHEN event_id % 5 = 0 THEN 'This seems wrong.' ELSE 'Fine.' END AS comment, CASE WHEN event_id % 7 = 0 THEN 'Rejected as it is right.' ELSE '' END AS resolution, CASE WHEN event_id % 7 = 0 THEN 'rejected' END AS decision FROM a""")
+def audit_scan(spark, sf_dir):
+    """Records written as files of both folders and read again: coordinates, sections, decision."""
+    rows = A.event_audits(spark, sf_dir).withColumn("resolution", F.when(F.col("event_id") % 7 == 0, "Rejected as it is right.").otherwise(""))
+    files = U.serialise(rows.withColumn("path", F.concat(F.lit("audit/"), F.when(F.col("mode") == "resolved", "resolved/").otherwise(""), U.file_name_of(F.col("id")))))
+    resolved = F.col("path").startswith("audit/resolved/")
+    back = U.from_files(U.scan(files.where(~resolved), files.where(resolved)))
+    place = F.when(F.col("start").isNotNull(), F.concat(F.lit("L"), F.get("start", 0), F.lit("-L"), F.get("end", 0))).otherwise("")
+    return back.select("id", "target", "type", "mode", place.alias("place"), "comment", "resolution", "decision")
+
+
+@query(f"WITH {_AUDITS} SELECT {_AUDIT_ID} AS id, target FROM a WHERE mode = 'open'")
+def open_audits(spark, sf_dir):
+    return Q.open_audits(A.event_audits(spark, sf_dir)).select(F.col("subject").alias("id"), F.col("page_id").alias("target"))
+
+
+@query(f"""WITH {_AUDITS}, i AS (SELECT *, {_AUDIT_ID} AS id FROM a) SELECT id, problem FROM (SELECT id, 'invalid start' AS problem, event_id FROM i WHERE event_id % 2 = 1 UNION ALL SELECT id, 'invalid end', event_id FROM i WHERE event_id % 2 = 1
+ UNION ALL SELECT id, 'unknown source', event_id FROM i WHERE event_id % 10 = 9 UNION ALL SELECT id, 'target does not exist', event_id FROM i WHERE user_id % 50 >= 40)""")
+def audit_shape(spark, sf_dir):
+    files = spark.range(40).select(F.concat(F.lit("wiki/users/u"), "id", F.lit(".md")).alias("path"))
+    return Q.feedback_issues(A.event_audits(spark, sf_dir), files).select(F.col("page_id").alias("id"), F.col("subject").alias("problem"))
 
 
 @query(f"WITH {_AUDITS} SELECT event_id, target, mode FROM p WHERE mode = 'open' AND stale")
@@ -679,41 +718,44 @@ def audit_validate(spark, sf_dir):
     return U.problems(A.event_audits(spark, sf_dir), files).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-@query("""WITH d AS MATERIALIZED (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 200), x AS MATERIALIZED (SELECT doc_id, text, CAST(n // 3 AS INT) AS a, CAST(n // 3 + 40 AS INT) AS b FROM d)
- SELECT doc_id, CAST(length(substr(text, 1, a)) - length(replace(substr(text, 1, a), chr(10), '')) + 1 AS INT) AS line_from, CAST(length(substr(text, 1, b - 1)) - length(replace(substr(text, 1, b - 1), chr(10), '')) + 1 AS INT) AS line_to,
-  substr(text, greatest(1, a - 79), least(a, 80)) AS before, substr(text, a + 1, 40) AS sel, substr(text, b + 1, 80) AS after FROM x""")
-def anchor_compute(spark, sf_dir):
-    return _computed(spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") > 200))
-
+_BREAKS = "length({0}) - length(replace({0}, chr(10), ''))"
 
-@query()
-def anchor_compute_all(spark, sf_dir):
-    return _computed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
-
-def _computed(docs: DataFrame) -> DataFrame:
+@query(f"""WITH x AS MATERIALIZED (SELECT doc_id, text, CAST(length(text) // 3 AS INT) AS a, CAST(length(text) // 3 + 40 AS INT) AS b FROM documents)
+ SELECT doc_id, CAST({_BREAKS.format('substr(text, 1, a)')} + 1 AS INT) AS line_from, CAST({_BREAKS.format('substr(text, 1, b - 1)')} + 1 AS INT) AS line_to,
+  substr(text, greatest(1, a - 79), least(a, 80)) AS before, substr(text, a + 1, 40) AS sel, substr(text, b + 1, 80) AS after FROM x""")
+def anchor_compute(spark, sf_dir):
     a = F.floor(F.length("text") / 3).cast("int")
-    rows = docs.select("doc_id", U.compute_anchor(F.col("text"), a, a + 40).alias("x"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", U.compute_anchor(F.col("text"), a, a + 40).alias("x"))
     return rows.select("doc_id", "x.line_from", "x.line_to", "x.before", F.col("x.text").alias("sel"), "x.after")
 
 
-@query("""WITH d AS MATERIALIZED (SELECT doc_id, text, CAST(length(text) // 3 AS INT) AS a FROM documents WHERE length(text) > 200), x AS MATERIALIZED (SELECT doc_id, 'new line' || chr(10) || text AS moved, substr(text, a + 1, 40) AS sel, substr(text, greatest(1, a - 79), least(a, 80)) || substr(text, a + 1, 120) AS ctx, least(a, 80) AS lead,
-  length(substr(text, 1, a)) - length(replace(substr(text, 1, a), chr(10), '')) + 1 AS l0, length(substr(text, 1, a + 39)) - length(replace(substr(text, 1, a + 39), chr(10), '')) + 1 AS l1 FROM d),
- y AS (SELECT *, (length(moved) - length(replace(moved, sel, ''))) // 40 AS n, array_to_string(string_split(moved, chr(10))[l0:l1], chr(10)) AS block FROM x)
- SELECT doc_id, CASE WHEN contains(block, sel) THEN 'lines' WHEN n = 1 THEN 'text' WHEN n > 1 AND contains(moved, ctx) THEN 'context' END AS via FROM y""")
+@query(f"""WITH d AS MATERIALIZED (SELECT doc_id, text, CAST(length(text) // 3 AS INT) AS a FROM documents), x AS MATERIALIZED (SELECT doc_id, 'new line' || chr(10) || text AS moved, substr(text, a + 1, 40) AS sel,
+  substr(text, greatest(1, a - 79), least(a, 80)) || substr(text, a + 1, 120) AS ctx, least(a, 80) AS lead, {_BREAKS.format('substr(text, 1, a)')} + 1 AS l0, {_BREAKS.format('substr(text, 1, a + 39)')} + 1 AS l1 FROM d),
+ y AS MATERIALIZED (SELECT *, (length(moved) - length(replace(moved, sel, ''))) / greatest(length(sel), 1) AS n, string_split(moved, chr(10)) AS rows FROM x),
+ z AS MATERIALIZED (SELECT *, array_to_string(rows[l0:l1], chr(10)) AS block, CASE WHEN l0 > 1 THEN length(array_to_string(rows[1:l0-1], chr(10))) + 1 ELSE 0 END AS base FROM y),
+ v AS (SELECT *, CASE WHEN sel = '' THEN NULL WHEN contains(block, sel) THEN 'lines' WHEN n = 1 THEN 'text' WHEN n > 1 AND contains(moved, ctx) THEN 'context' END AS via FROM z)
+ SELECT doc_id, via, CAST(CASE via WHEN 'lines' THEN base + strpos(block, sel) - 1 WHEN 'text' THEN strpos(moved, sel) - 1 WHEN 'context' THEN strpos(moved, ctx) - 1 + lead END AS INT) AS start FROM v""")
 def anchor_resolve(spark, sf_dir):
-    return _resolved(spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") > 200))
-
-
-@query()
-def anchor_resolve_all(spark, sf_dir):
-    return _resolved(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-def _resolved(docs: DataFrame) -> DataFrame:
     a = F.floor(F.length("text") / 3).cast("int")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", F.concat(F.lit("new line\n"), "text").alias("moved"), U.compute_anchor(F.col("text"), a, a + 40).alias("x"))
-    return rows.select("doc_id", U.resolve_anchor(F.col("moved"), F.col("x")).alias("r")).select("doc_id", "r.via")
+    return rows.select("doc_id", U.resolve_anchor(F.col("moved"), F.col("x")).alias("r")).select("doc_id", "r.via", "r.start")
+
+
+@query(f"""WITH d AS MATERIALIZED (SELECT doc_id, text, substr(text, CAST(length(text) // 2 AS INT) + 1, CAST(4 + doc_id % 20 AS INT)) AS sel, {_BREAKS.format('substr(text, 1, CAST(length(text) // 2 AS INT))')} + 1 + CAST(doc_id % 3 = 0 AS INT) AS l FROM documents),
+ x AS MATERIALIZED (SELECT *, string_split(text, chr(10)) AS rows FROM d), y AS MATERIALIZED (SELECT *, array_to_string(rows[l:l], chr(10)) AS block, CASE WHEN l > 1 THEN length(array_to_string(rows[1:l-1], chr(10))) + 1 ELSE 0 END AS base FROM x),
+ z AS MATERIALIZED (SELECT *, strpos(block, sel) AS i, strpos(text, sel) AS j FROM y),
+ o AS (SELECT *, CASE WHEN sel = '' THEN NULL WHEN i > 0 AND strpos(substr(block, i + 1), sel) = 0 THEN base + i - 1 WHEN j > 0 AND strpos(substr(text, j + 1), sel) = 0 THEN j - 1 END AS start FROM z)
+ SELECT doc_id, CAST(start AS INT) AS start, CAST(start + length(sel) AS INT) AS "end" FROM o""")
+def raw_offset(spark, sf_dir):
+    """Selections from the middle of texts, some said to stand a line further down than they do."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    half = F.floor(F.length("text") / 2).cast("int")
+    sel = F.substring(F.col("text"), half + 1, (4 + F.col("doc_id") % 20).cast("int"))
+    line = (U.line_of(F.col("text"), half) + (F.col("doc_id") % 3 == 0).cast("int")).cast("int")
+    rows = docs.select("doc_id", "text", sel.alias("sel"), line.alias("l"))
+    return rows.select("doc_id", U.raw_offset(F.col("text"), F.col("l"), F.col("l"), F.col("sel")).alias("r")).select("doc_id", "r.start", "r.end")
 
 
 # --- versions and migrations -------------------------------------------------
@@ -785,7 +827,8 @@ def migrate_wikilinks(spark, sf_dir):
     return M.migrate_wikilinks(p, p).select("page_id", F.sha2("body", 256).alias("sha256"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {O.GRAPH}, {O.BOTH}, h0 AS ({_SEED_ROWS}), r AS (SELECT page_id, 0 AS d FROM h0 UNION SELECT b, d + 1 FROM r JOIN both_ways ON a = page_id WHERE d < 8)
+ SELECT page_id, CAST(greatest(min(d) - 1, 0) AS INT) AS round FROM r GROUP BY 1""")
 def scan_fixpoint(spark, sf_dir):
     return S.fixpoint(knowledge(spark, sf_dir)[1], seed_pages(spark))
 
@@ -795,3 +838,189 @@ def lint_issues(spark, sf_dir):
     p = star(spark, sf_dir)
     parsed_, edges = knowledge(spark, sf_dir)
     return Q.all_rules(p, parsed_, edges, A.catalog_files(p)).select("rule", "severity", "counted", "page_id", "line_no", "subject")
+
+
+# --- further operators -------------------------------------------------------
+
+
+@query("""SELECT 'p' || p_partkey AS page_id, 'the shared model' AS subject, 'uses' AS predicate, 'tokens' AS kind, (p_partkey % 9 + 1) || 'k' AS value FROM part
+ UNION ALL SELECT 'p' || p_partkey, 'model x-' || (p_partkey % 5), 'reaches', 'percent', (p_partkey % 4) || '.5%' FROM part
+ UNION ALL SELECT 'p' || p_partkey, '模型', 'supports', 'context_window', (p_partkey % 7 + 1) || 'k' FROM part
+ UNION ALL SELECT 'p' || p_partkey, 'its index', 'is', 'storage', (p_partkey % 3 + 1) || 'gb' FROM part""")
+def numeric_claims_mixed(spark, sf_dir):
+    """Claims in lower case, in capitals and in Chinese, beside lines that only look like claims."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    body = F.concat_ws(
+        "\n",
+        F.concat(F.lit("the shared model uses "), (k % 9 + 1).cast("string"), F.lit("K tokens.")),
+        F.concat(F.lit("MODEL X-"), (k % 5).cast("string"), F.lit(" Achieves about "), (k % 4).cast("string"), F.lit(".5 % of it")),
+        F.concat(F.lit("模型 支持 "), (k % 7 + 1).cast("string"), F.lit("k 上下文")),
+        F.concat(F.lit("its index is "), (k % 3 + 1).cast("string"), F.lit(" gb")),
+        F.lit("there are 12 of them"), F.lit("```"), F.lit("the shared model uses 99k tokens"), F.lit("```"), F.lit("# the heading is 4 gb"),
+    )
+    pages_ = part.select(F.concat(F.lit("p"), k).alias("page_id"), body.alias("body"))
+    return Q.numeric_claims(pages_).select("page_id", "subject", "predicate", "kind", "value")
+
+
+@query(f"""WITH {O.LINES}, m AS MATERIALIZED (SELECT page_id, unnest(regexp_extract_all(line, '!?\\[[^\\]]*\\]\\(<?[^()<>\\s#]+\\.md(#top)?>?\\)')) AS link FROM lines)
+ SELECT page_id, regexp_extract(link, '\\[([^\\]]*)\\]', 1) AS label, link LIKE '!%' AS is_image, count(*) AS n FROM m WHERE link NOT LIKE '%(http%' GROUP BY 1, 2, 3""")
+def link_labels(spark, sf_dir):
+    return G.extract_links(star(spark, sf_dir)).groupBy("page_id", "label", "is_image").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, 'see ' || p_name || ' and ' || p_type || ' here' AS plain FROM part")
+def strip_links(spark, sf_dir):
+    text = F.concat(F.lit("see ["), "p_name", F.lit("](/x.md) and ![") , "p_type", F.lit("](<a b.png>) here"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.strip_links(text).alias("plain"))
+
+
+@query(f"WITH {O.GRAPH} SELECT s, t, k, CAST(w + 2 AS BIGINT) AS w, CAST(1.0 AS DOUBLE) AS d FROM edges UNION ALL SELECT page_id, page_id, 'links_to', 1, 0.25 FROM star")
+def merge_edges(spark, sf_dir):
+    """Edges told twice with different weights and depths, and some told once."""
+    p, e = linked(spark, sf_dir)
+    again = e.withColumns({"w": F.lit(2).cast("long"), "d": F.lit(0.5)})
+    once = p.select(F.col("page_id").alias("s"), F.col("page_id").alias("t"), F.lit("links_to").alias("k"), F.lit(1).cast("long").alias("w"), F.lit(0.25).alias("d"))
+    return G.merge_edges(e.unionByName(again).unionByName(once))
+
+
+@query(f"""WITH {O.GRAPH}, n AS MATERIALIZED (SELECT page_id, title, kind FROM star WHERE kind <> 'summary'), x AS MATERIALIZED (SELECT DISTINCT s AS page_id, 'out' AS direction, t AS other, k AS kind FROM edges UNION ALL SELECT DISTINCT t, 'in', s, k FROM edges)
+ SELECT x.page_id, direction, other, x.kind, coalesce(n.title, other) AS title, coalesce(n.kind, 'page') AS other_kind FROM x LEFT JOIN n ON n.page_id = other""")
+def ego_edges(spark, sf_dir):
+    """Neighbours of all pages; the catalogue lacks the summary pages, which then stand for themselves."""
+    p, e = linked(spark, sf_dir)
+    return G.ego_edges(e, p.where("kind != 'summary'"))
+
+
+@query(f"WITH {O.GRAPH}, {O.DEGREES} SELECT page_id FROM deg ORDER BY inbound + outbound DESC, page_id LIMIT (SELECT greatest(8, least(18, CAST(ceil(count(*) * 14 / 100) AS INT))) FROM star)")
+def priority_labels(spark, sf_dir):
+    p, e = linked(spark, sf_dir)
+    return G.priority_labels(G.degrees(e, p))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{row[0]}', '{other}', CAST({pull} AS DOUBLE))" for row in G.AFFINITY[1:] for other, pull in zip(G.AFFINITY[0][1:], row[1:], strict=True)) + ") AS v(kind, other, pull)")
+def affinities(spark, sf_dir):
+    return G.affinities(spark)
+
+
+_CHUNKED = ORACLES["chunks"].rsplit("SELECT 'chunk:'", 1)[0]
+
+
+@query(f"{_CHUNKED} SELECT page_id, sha256(string_agg(body, chr(10) || chr(10) ORDER BY ordinal)) AS sha256 FROM p GROUP BY 1")
+def ordered_text(spark, sf_dir):
+    return P.ordered_text(P.chunks(star(spark, sf_dir))).select("page_id", F.sha2("text", 256).alias("sha256"))
+
+
+_CHANGED = "n AS MATERIALIZED (SELECT page_id, CAST('0x' || substr(sha256(page_id), 1, 4) AS INT) % 10 AS n FROM star)"
+
+
+def _changes(p: DataFrame) -> DataFrame:
+    n = F.conv(F.substring(F.sha2("page_id", 256), 1, 4), 16, 10).cast("int") % 10
+    change = F.when(n == 0, "delete").when(n == 1, "update").when(n == 2, "insert")
+    return p.select("page_id", F.lit(None).cast("string").alias("old_page_id"), change.alias("change")).where("change is not null")
+
+
+@query(f"""{_CHUNKED}, moved AS MATERIALIZED (SELECT page_id, CAST('0x' || substr(sha256(page_id), 1, 4) AS INT) % 10 AS n FROM star), {O.LINKS}, {O.TARGETS}, {O.EDGES}
+ SELECT (SELECT count(*) FROM star) AS docs, (SELECT count(*) FROM p) AS chunks, (SELECT count(*) FROM edges) AS links, (SELECT count(*) FROM moved WHERE n IN (1, 2)) AS changed, (SELECT count(*) FROM moved WHERE n = 0) AS removed""")
+def index_totals(spark, sf_dir):
+    p, e = linked(spark, sf_dir)
+    return D.index_totals({"pages": p, "chunks": P.chunks(star(spark, sf_dir)), "edges": e}, _changes(p))
+
+
+@query(f"WITH {O.STAR}, {_CHANGED} SELECT page_id AS path, CAST(strlen(body) AS BIGINT) AS size_bytes FROM star JOIN n USING (page_id) WHERE n IN (1, 2)")
+def scoped_stats(spark, sf_dir):
+    p = star(spark, sf_dir)
+    return X.scoped_stats(p.select(F.col("page_id").alias("path"), F.octet_length("body").cast("long").alias("size_bytes")), _changes(p))
+
+
+@query(f"WITH {O.STAR}, {_CHANGED} SELECT page_id FROM n WHERE n = 0")
+def deleted_pages(spark, sf_dir):
+    return Q.deleted_pages(_changes(star(spark, sf_dir))).select("page_id")
+
+
+@query(f"WITH {O.STAR}, {_CHANGED} SELECT page_id AS path, CASE n WHEN 0 THEN 'gone' WHEN 1 THEN 'changed' ELSE 'new' END AS state FROM n WHERE n < 3")
+def stale_files(spark, sf_dir):
+    """An index of files of which some have gone, some have changed, and some are new."""
+    p = star(spark, sf_dir)
+    c = p.join(_changes(p).select("page_id", "change"), "page_id", "left").select(F.col("page_id").alias("path"), F.octet_length("body").alias("size_bytes"), F.lit("2024-01-01").cast("timestamp").alias("mtime"), F.coalesce("change", F.lit("same")).alias("c"))
+    now = c.where("c != 'delete'").withColumn("mtime", F.when(F.col("c") == "update", F.lit("2024-01-02").cast("timestamp")).otherwise(F.col("mtime")))
+    return D.stale_files(c.where("c != 'insert'"), now)
+
+
+@query("""SELECT 'p' || event_id AS page_id, CASE WHEN event_id % 3 = 0 THEN 'q' || event_id END AS old_page_id,
+ CASE WHEN event_id % 5 = 0 THEN 'delete' WHEN event_id % 2 = 0 THEN 'update' WHEN event_id % 3 = 0 THEN 'rename' ELSE 'insert' END AS change FROM events""")
+def union_changes(spark, sf_dir):
+    """Three sources, oldest first; each overrules those before it, whatever the change is called."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i, none = F.col("event_id"), F.lit(None).cast("string")
+    rows = lambda where, old, change: ev.where(where).select(F.concat(F.lit("p"), i).alias("page_id"), old.alias("old_page_id"), F.lit(change).alias("change"))
+    committed = rows("event_id % 3 != 0", none, "insert").unionByName(rows("event_id % 3 = 0", F.concat(F.lit("q"), i), "rename"))
+    return X.union_changes([committed, rows("event_id % 2 = 0", none, "update"), rows("event_id % 5 = 0", none, "delete")])
+
+
+@query("SELECT 'event:' || event_id AS entry_id, CAST(ts AS DATE) AS date, strftime(ts, '%H:%M') AS time FROM events ORDER BY 2 DESC, 3 DESC, 1 DESC LIMIT 50")
+def newest_entries(spark, sf_dir):
+    return C.ordered_entries(A.event_log(spark, sf_dir), 50).select("entry_id", "date", "time")
+
+
+@query("SELECT head, count(*) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'wiki' WHEN 1 THEN 'raw' ELSE 'README.md' END AS head FROM events UNION ALL SELECT 'log' FROM events WHERE event_id % 4 = 0) GROUP BY 1")
+def touched_heads(spark, sf_dir):
+    i = F.col("event_id")
+    path = F.when(i % 3 == 0, F.concat(F.lit("wiki/a/"), i)).when(i % 3 == 1, F.concat(F.lit("raw/"), i)).otherwise("README.md")
+    commits = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.array_compact(F.array(path, F.when(i % 4 == 0, F.lit("log/x.md")))).alias("files"))
+    return C.touched_heads(commits)
+
+
+@query(f"""WITH {_EVENTS}, x AS (SELECT DISTINCT page_id FROM b WHERE bucket IS NOT NULL), u AS (SELECT *, CAST(regexp_extract(page_id, 'u([0-9]+)', 1) AS INT) AS k FROM x)
+ SELECT page_id, CASE WHEN k % 3 = 0 THEN 'own ' || k WHEN k % 2 = 0 THEN 'listed ' || k ELSE page_id END AS title, CASE WHEN k % 3 = 0 THEN 'concept' WHEN k % 2 = 0 THEN 'entity' ELSE 'page' END AS kind FROM u""")
+def touched_nodes(spark, sf_dir):
+    k = F.col("id")
+    users = spark.range(50).select(k, F.concat(F.lit("wiki/users/u"), k, F.lit(".md")).alias("page_id"))
+    nodes = users.where("id % 3 = 0").select("page_id", F.concat(F.lit("own "), k).alias("title"), F.lit("concept").alias("kind"))
+    catalog = users.where("id % 2 = 0").select("page_id", F.concat(F.lit("listed "), k).alias("title"), F.lit("entity").alias("kind"))
+    return C.touched_nodes(recent(spark, sf_dir), nodes, catalog)
+
+
+@query("""SELECT DISTINCT token, weight FROM (SELECT 'brand' || p_size AS token, CAST(sum(p_size % 7 + 1) AS DOUBLE) AS weight FROM part GROUP BY p_size ORDER BY 2 DESC, 1 LIMIT 12)""")
+def interest_words(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    token = F.concat(F.lit("brand"), F.col("p_size").cast("int"))
+    terms = part.select(F.lit(1).alias("sign"), token.alias("token"), (F.col("p_size") % 7 + 1).cast("double").alias("weight"))
+    return R.interest_query(terms.unionByName(terms.withColumns({"sign": F.lit(-1), "weight": F.lit(1000.0)})))
+
+
+@query("""SELECT 'log/' || event_id || CASE WHEN event_id % 5 = 0 THEN '.txt.md' WHEN event_id % 5 = 1 THEN '/20241301.md' ELSE '/20240115.md' END AS path,
+  CASE WHEN event_id % 5 < 2 THEN 'file name is not YYYYMMDD.md' ELSE 'first line is not the date' END AS problem FROM events WHERE event_id % 5 < 3
+ UNION ALL SELECT 'log/' || event_id || '/20240115.md', 'has frontmatter' FROM events WHERE event_id % 5 = 3 UNION ALL SELECT 'log/' || event_id || '/20240115.md', 'first line is not the date' FROM events WHERE event_id % 5 = 3""")
+def log_shape(spark, sf_dir):
+    i = F.col("event_id")
+    name = F.when(i % 5 == 0, ".txt.md").when(i % 5 == 1, "/20241301.md").otherwise("/20240115.md")
+    body = F.when(i % 5 == 2, "# 2024-01-16\n").when(i % 5 == 3, "---\na: 1\n---\n# 2024-01-15\n").otherwise("# 2024-01-15 \nx")
+    logs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("log/"), i, name).alias("path"), body.alias("body"))
+    return Q.log_shape(logs).select(F.col("page_id").alias("path"), F.col("subject").alias("problem"))
+
+
+_ORDERED = {"updated": "updated DESC NULLS LAST, score DESC", "degree": "degree DESC, score DESC", "title": "lower(title)"}
+
+
+def _top(sort: str) -> Query:
+    def run(spark, sf_dir):
+        p, e = ranked_pages(spark, sf_dir)
+        return R.rank(p, e, now=NOW, sort=sort, tags=["supply", "geo"]).select("page_id", F.round("score", 6).alias("score"))
+
+    run.__name__ = f"top_by_{sort}"
+    return run
+
+
+for _sort, _order in _ORDERED.items():
+    query(f"""WITH {O.GRAPH}, {O.DEGREES}, {_RECENT}, g AS MATERIALIZED (SELECT page_id, title, updated, CAST(inbound + outbound AS DOUBLE) AS degree, recency FROM deg JOIN rec USING (page_id) JOIN star USING (page_id) WHERE list_has_any(string_split(tags, ','), ['supply', 'geo'])),
+ h AS MATERIALIZED (SELECT *, 0.8 * degree / (SELECT max(degree) FROM g) + 0.4 * recency AS score FROM g) SELECT page_id, round(score, 6) AS score FROM h ORDER BY {_order}, page_id LIMIT 12""")(_top(_sort))
+
+
+@query(f"""WITH {_DOCS}, hit AS MATERIALIZED (SELECT page_id FROM docs WHERE contains(lower(title || chr(10) || lang || chr(10) || text), '%%&')) SELECT page_id FROM hit ORDER BY page_id LIMIT 240""")
+def like_candidates(spark, sf_dir):
+    """Text that has no words: nothing is found by words, so pages that hold it literally are the candidates."""
+    p = A.doc_pages(spark, sf_dir)
+    chunk = p.select("page_id", F.concat(F.lit("chunk:"), "page_id").alias("chunk_id"), F.lit("").alias("heading"), "body")
+    found = R.like_hits(p, chunk, ["%%&"])
+    return found.orderBy(F.desc("hits"), "page_id").limit(240).select("page_id")

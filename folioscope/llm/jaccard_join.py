@@ -49,8 +49,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD_BYTES, materialise
-from folioscope.llm.packs import LOW48, NO_ID, ORDINAL_BITS, PACK_BYTES, bucket_count, bucket_of, mix, pack, pack_docs, pack_hashes, release, slices, tidy, unpack, unpack_hashes
+from folioscope.llm.common import materialise
+from folioscope.llm.packs import LOW48, NO_ID, ORDINAL_BITS, PACK_BYTES, bucket_count, bucket_of, hashed_words, mix, pack, pack_docs, pack_hashes, release, slices, tidy, unpack, unpack_hashes
 
 WORDS = 5
 SMALL = 64  # bands up to this size take the one-deletion allocation
@@ -61,12 +61,6 @@ SKETCH_WORDS = 8  # parity sketches have 512 bits at least
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _combine(h: np.ndarray, size: int) -> np.ndarray:
     """Hashes of each ``size`` neighbours."""
     out = np.full(len(h) - size + 1, np.uint64(size))
@@ -77,19 +71,14 @@ def _combine(h: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; all texts are hashed and sorted together."""
-    known = _Hashes().__getitem__
-    parts = []
-    for t in texts:
-        words = t.translate(WORD_BYTES).split()
-        parts.append(np.fromiter(map(known, words), np.uint64, len(words)))
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(parts)
+    flat, sizes = hashed_words(texts)
+    ends = np.cumsum(sizes)
+    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
     for i in np.flatnonzero((sizes > 0) & (sizes < WORDS)).tolist():
-        out[i] = _combine(parts[i], len(parts[i]))
+        out[i] = _combine(flat[ends[i] - sizes[i] : ends[i]], int(sizes[i]))
     long = np.flatnonzero(sizes >= WORDS)
     if len(long):
-        flat = np.concatenate([parts[i] for i in long])
-        del parts
+        flat = flat[np.repeat(sizes >= WORDS, sizes)]
         owner = np.repeat(np.arange(len(long), dtype=np.int32), sizes[long])
         grams = np.concatenate([_combine(flat[k : k + (1 << 16) + WORDS - 1], WORDS) for k in range(0, len(flat) - WORDS + 1, 1 << 16)])
         inside = owner[: len(grams)] == owner[WORDS - 1 :]

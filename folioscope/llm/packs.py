@@ -28,7 +28,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import materialise, partitions
+from folioscope.llm.common import WORD_BYTES, materialise, partitions
 
 PACK_BYTES = 3 << 20
 BUCKET_BYTES = 16 << 20
@@ -76,13 +76,13 @@ def bucket_count(packs: DataFrame, pack_bytes: int = PACK_BYTES) -> int:
     return max(partitions(packs.sparkSession), math.ceil(packs.count() * pack_bytes / BUCKET_BYTES))
 
 
-def slices(cells_of: list[np.ndarray], most: int) -> Iterator[list[tuple[int, int]]]:
-    """Ranges (low, high) of each array of sorted hashes, for ranges of hashes that hold about ``most`` in all."""
+def slices(cells_of: list[np.ndarray], most: int, bits: int = 48) -> Iterator[list[tuple[int, int]]]:
+    """Ranges (low, high) of each array of sorted hashes, for ranges of hashes of so many bits that hold about ``most`` in all."""
     total = sum(map(len, cells_of))
     parts = max(1, math.ceil(total / most))
     at = [0] * len(cells_of)
     for k in range(1, parts + 1):
-        end = [len(a) if k == parts else int(np.searchsorted(a, np.uint64((k << 48) // parts))) for a in cells_of]
+        end = [len(a) if k == parts else int(np.searchsorted(a, np.uint64((k << bits) // parts))) for a in cells_of]
         yield list(zip(at, end, strict=True))
         at = end
 
@@ -168,6 +168,57 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+WORD_BLOCK = 1 << 18
+
+
+@cache
+def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, from the 0th on."""
+    base = 0x9E3779B97F4A7C15
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        powers = np.full(size, np.uint64(b))
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers))
+    return out[0], out[1]
+
+
+def word_table(texts: list[bytes], letters: bytes = WORD_BYTES) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lowered texts end to end, and of all their words the 64-bit hash, first byte and last byte; the number of words of each text.
+
+    ``letters`` is the translation that lowers letters and puts spaces between words.
+    A word's hash is a scrambled polynomial of its bytes, taken from sums over blocks of
+    about ``WORD_BLOCK`` bytes, which end between words; no word becomes an object.
+    """
+    joined = b" ".join(texts).translate(letters)
+    hashes, starts, ends, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < len(joined):
+        end = joined.find(b" ", at + WORD_BLOCK)
+        end = len(joined) if end < 0 else end
+        block = np.frombuffer(joined, np.uint8, end - at, at)
+        inside = np.zeros(len(block) + 2, bool)
+        inside[1:-1] = block != 32
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, last = edges[0::2], edges[1::2]
+        if len(first):
+            powers, inverse = _power_table(max(2 * WORD_BLOCK, 1 << len(block).bit_length()))
+            sums = np.zeros(len(block) + 1, np.uint64)
+            np.cumsum((block.astype(np.uint64) + np.uint64(1)) * powers[: len(block)], out=sums[1:])
+            hashes.append(mix((sums[last] - sums[first]) * inverse[first]))
+            starts.append(first + at)
+            ends.append(last + at)
+        at = end + 1
+    start, sizes = np.concatenate(starts), np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    places = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
+    return joined, np.concatenate(hashes), start, np.concatenate(ends), np.diff(places)
+
+
+def hashed_words(texts: list[bytes], letters: bytes = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the lowered words of all texts, end to end, number of words of each text)."""
+    _, hashes, _, _, sizes = word_table(texts, letters)
+    return hashes, sizes
+
+
 def run_hashes(values: np.ndarray, size: int) -> np.ndarray:
     """Scrambled polynomial hash of the ``size`` values from each place on, by doubling."""
     have, h, out, done = 1, values, None, 0

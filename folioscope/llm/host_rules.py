@@ -11,7 +11,7 @@ limits, so that a clean document is kept wherever it comes from.
 
 Defined results: a null text has no words and fails; a null host is a host of
 its own; repeated rows are measured each; an empty table gives an empty result;
-extra columns are only carried when asked for.
+extra columns are only carried when asked for, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import OTHER_SPACE, materialise, text_of, words_of
+from folioscope.llm.common import OTHER_SPACE, materialise, quoted, text_of, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -51,11 +51,11 @@ def _repeat_words(ordered: Column) -> Column:
 
 
 def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The carried columns, the host and the measures of each row, in one narrow pass."""
+    """The carried columns in one struct (so their names never clash), the host and the measures of each row, in one narrow pass."""
     text = text_of()
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " " + OTHER_SPACE, "")) > 0)
     out = docs.select(
-        *carry,
+        F.struct(*[F.col(quoted(c)) for c in carry]).alias("_carried"),
         F.col("source").cast("string").alias("_host"),
         words_of(text).alias("_words"),
         lines.alias("_lines"),
@@ -68,7 +68,7 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
         F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
     out = out.select(
-        *carry,
+        "_carried",
         "_host",
         n.cast("long").alias("n_words"),
         "word_chars",
@@ -85,6 +85,12 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 def host_rules(docs: DataFrame, carry: list[str], host_limit: float = HOST_LIMIT) -> DataFrame:
     """``carry`` and the measures, ``base_failed``, ``host_rate`` (shrunk), ``host_trusted`` and ``kept``."""
+    out = _judged(docs, carry, host_limit)
+    return out.select("_carried.*", *[c for c in out.columns if c != "_carried"])
+
+
+def _judged(docs: DataFrame, carry: list[str], host_limit: float = HOST_LIMIT) -> DataFrame:
+    """The same with the carried columns in the struct ``_carried``."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = materialise(measure(docs, carry).withColumn("base_failed", failed), "host-rules")
 
@@ -108,3 +114,8 @@ def host_rules(docs: DataFrame, carry: list[str], host_limit: float = HOST_LIMIT
     )
     out = out.withColumn("host_trusted", F.coalesce(F.col("host_rate") <= host_limit, F.lit(True)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_trusted") | ~strict)).drop("_n_lines")
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass, with its columns."""
+    return _judged(docs, docs.columns).where("kept").select("_carried.*")

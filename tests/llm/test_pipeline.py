@@ -1,5 +1,6 @@
 import corpus_pipeline as cp
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import queries as q
 from tests.llm.fixtures import prose
@@ -64,3 +65,23 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+CLASHING = ("n_words", "host_rate", "_words", "_host", "_carried", "_spans", "spans", "whole", "at", "uid", "pack", "kept", "component_id")
+
+
+def test_extra_columns_with_inner_names_and_repeated_rows(spark, corpus, tmp_path):
+    """Each stage but the last returns its columns whatever they are called; repeated rows are found by content."""
+    path, docs, base = corpus
+    rows = spark.read.parquet(f"{path}/documents.parquet")
+    rows = rows.unionByName(rows.where("doc_id < 5")).select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+    names = rows.columns
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, rows, path)
+        assert out.columns == names, name
+        held = out.collect()
+        assert held and all(tuple(r[c] for c in CLASHING) == tuple(range(len(CLASHING))) for r in held), name
+        rows = spark.createDataFrame(held, out.schema)
+    kept = [r.doc_id for r in held]
+    assert len(kept) == len(set(kept)) and {1, 2, 105, 106, None} <= set(kept)
+    assert cp.STAGES[-1][1](spark, rows, path).count() == len(kept)

@@ -33,7 +33,53 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 
 _LICENSED = "<<beginOptional>>released<<endOptional>><<beginOptional>>licensed<<endOptional>> under <<beginOptional>>the terms of<<endOptional>> <<beginOptional>>the<<endOptional>> <<beginOptional>>a<<endOptional>> "
 _LATER = " <<beginOptional>>or <<beginOptional>>at your option any<<endOptional>> <<beginOptional>>any<<endOptional>> later <<beginOptional>>version<<endOptional>><<endOptional>>"
-#: Label and template.
+_NO_WARRANTY = (
+    "this software is provided by <<var;1;12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness "
+    "for a particular purpose are disclaimed in no event shall <<var;1;12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to "
+    "procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort "
+    "including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_BSD_TWO = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution "
+)
+#: Whole licences and notices; their wording, not its layout, is what is matched.
+WHOLE = {
+    "0bsd-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims all warranties with regard to this "
+    "software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of "
+    "use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+    "<<var;1;8>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    "see the license for the specific language governing permissions and limitations under the license",
+    "bsd-2-clause-text": _BSD_TWO + _NO_WARRANTY,
+    "bsd-3-clause-text": _BSD_TWO + "<<beginOptional>>3<<endOptional>> neither the name of <<var;1;12>> nor the names of <<beginOptional>>its<<endOptional>> contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission " + _NO_WARRANTY,
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+    "either version <<var;1;2>> of the license <<beginOptional>>or at your option any later version<<endOptional>> this program is distributed in the hope that it will be useful but without any warranty without even the implied "
+    "warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details <<beginOptional>>you should have received a copy of the gnu general public license along with this program "
+    "if not see <<var;1;6>><<endOptional>>",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and <<var;1;6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;1;6>> be liable for any special "
+    "direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the "
+    "use or performance of this software",
+    "mit-whole": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without "
+    "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above "
+    "copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software the software is provided as is without "
+    "warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var;1;12>> be liable for any claim damages or "
+    "other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+    "for any purpose commercial or non commercial and by any means <<beginOptional>>in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to "
+    "the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present "
+    "and future rights to this software under copyright law<<endOptional>>",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use "
+    "this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<beginOptional>>1<<endOptional>> the origin of this software must not be "
+    "misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+    "<<beginOptional>>2<<endOptional>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<beginOptional>>3<<endOptional>> this notice may not be removed or "
+    "altered from any source distribution",
+}
+#: Label and template of short references to a licence.
 TEMPLATES = {
     "apache-2.0": _LICENSED + "apache license <<beginOptional>>version<<endOptional>> 2 <<beginOptional>>0<<endOptional>>",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted <<beginOptional>>provided that the following conditions are met<<endOptional>>",
@@ -87,8 +133,8 @@ class Automaton:
             else:
                 run = []
             best = list(best)
-        #: Bytes that every accepted text holds.
-        self.anchor = b" " + b" ".join(best) + b" "
+        #: Bytes that every accepted text holds; without words outside all regions there are none, and every text is tried.
+        self.anchor = b" " + b" ".join(best) + b" " if best else b""
         self.cache: dict[tuple[frozenset, bytes], frozenset] = {}
         self.start = self._close({0})
         self.first = {w for s in self.start for w, _ in self.moves[s]}
@@ -195,7 +241,7 @@ def scan(text: str | None, automata: dict[str, Automaton]) -> tuple:
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """Base places, labels and the share of words inside license wording, for every row."""
-    markup = dict(templates or TEMPLATES)
+    markup = dict(templates or TEMPLATES | WHOLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = {k: Automaton(v) for k, v in markup.items()}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +28,17 @@ WORD_BYTES = bytes(32 if b in b" \t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 el
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) a temporary folder of this
-    process is taken, and set for ``checkpoint()`` too.
+    Only a local session that has none gets a temporary folder of this process, which is
+    set for ``checkpoint()`` too, with a warning; on a cluster this is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark, "_folioscope_shared", None)
         if not found:
-            found = tempfile.mkdtemp(prefix="folioscope-")
-            spark._folioscope_shared = found
+            warnings.warn("spark.checkpoint.dir is not set; a temporary local folder is used", stacklevel=2)
+            found = spark._folioscope_shared = tempfile.mkdtemp(prefix="folioscope-")
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -21,6 +22,7 @@ from folioscope.operators import store as D
 from folioscope.plans import oracle as O
 from folioscope.sources import adapters as A
 from folioscope.sources import files as X
+from folioscope.streaming import ingest as I
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -833,11 +835,49 @@ def scan_fixpoint(spark, sf_dir):
     return S.fixpoint(knowledge(spark, sf_dir)[1], seed_pages(spark))
 
 
-@query()
+_S_AT = lambda condition, subject: f"SELECT {O._SUP} AS page_id, {subject} AS subject FROM supplier WHERE {condition}"
+_LINT = {
+    ("parent_path", "hard", True): _S_AT("s_suppkey % 11 = 1", "'../entities/nation-' || s_nationkey || '.md'"),
+    ("missing_root", "hard", True): _S_AT("s_suppkey % 10 = 3", "'entities/nation-' || s_nationkey || '.md'"),
+    ("absolute_path", "hard", True): _S_AT("s_suppkey % 13 = 2", "'/entities/nation ' || s_nationkey || '.md'"),
+    ("dead_link", "hard", True): "SELECT page_id, href AS subject FROM strict WHERE t NOT IN (SELECT path FROM files)",
+    ("malformed_link", "soft", True): _S_AT("s_suppkey % 13 = 2", "'/entities/nation ' || s_nationkey || '.md'"),
+    ("plain_bullet", "soft", True): _S_AT("s_suppkey % 9 = 0", "'plain words only'") + " UNION ALL SELECT 'wiki/index.md', 'plain entry'",
+    ("orphan", "soft", True): "SELECT page_id, page_id AS subject FROM star WHERE page_id <> 'wiki/index.md' AND page_id NOT IN (SELECT t FROM edges)",
+    ("missing_index", "soft", True): "SELECT page_id, page_id AS subject FROM star WHERE page_id <> 'wiki/index.md' AND page_id NOT IN (SELECT t FROM edges WHERE s = 'wiki/index.md')",
+    ("frequent_missing", "soft", True): "SELECT NULL AS page_id, t AS subject FROM strict WHERE t NOT IN (SELECT page_id FROM star) GROUP BY t HAVING count(*) >= 3",
+    ("wikilink", "soft", True): _S_AT("s_suppkey % 8 = 0", "'nation-' || s_nationkey"),
+    ("dead_source", "hard", True): "SELECT page_id, item AS subject FROM src WHERE item NOT IN (SELECT path FROM files)",
+    ("marker", "info", False): _S_AT("s_suppkey % 12 = 0", "'outdated'"),
+    ("claim_conflict", "info", False): "SELECT NULL AS page_id, 'shared model' AS subject FROM supplier HAVING count(DISTINCT s_suppkey % 3) > 1",
+}
+_SRC = f"""src AS MATERIALIZED (SELECT {O._SUP} AS page_id, 'raw/suppliers.md' AS item FROM supplier UNION ALL SELECT {O._SUP}, 'wiki' || {O._SN} FROM supplier
+ UNION ALL SELECT {O._NAT}, 'raw/nations.md' FROM nation UNION ALL SELECT {O._CUS}, 'raw/customers.md' FROM customer WHERE c_custkey % 3 = 0)"""
+_STRICT = "strict AS MATERIALIZED (SELECT * FROM (SELECT page_id, href, CASE WHEN href LIKE '/%' THEN 'wiki' || href WHEN href LIKE 'wiki/%' THEN href END AS t FROM links) WHERE t IS NOT NULL)"
+
+
+@query(f"WITH {O.GRAPH}, {O.FILES}, {_SRC}, {_STRICT} " + " UNION ALL ".join(f"SELECT '{rule}' AS rule, '{severity}' AS severity, {str(counted).lower()} AS counted, page_id, subject FROM ({sql})" for (rule, severity, counted), sql in _LINT.items()))
 def lint_issues(spark, sf_dir):
+    """All rules over the corpus, as one union."""
     p = star(spark, sf_dir)
     parsed_, edges = knowledge(spark, sf_dir)
-    return Q.all_rules(p, parsed_, edges, A.catalog_files(p)).select("rule", "severity", "counted", "page_id", "line_no", "subject")
+    return Q.all_rules(p, parsed_, edges, A.catalog_files(p)).select("rule", "severity", "counted", "page_id", "subject")
+
+
+@query("SELECT 'p' || (doc_id % 500) AS page_id, sha256(arg_max(coalesce(text, ''), doc_id)) AS sha256 FROM documents GROUP BY 1")
+def stream_index(spark, sf_dir):
+    """Documents streamed as versions of pages: after each batch the table holds every page's newest version."""
+    rows = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/documents.parq*")
+    pages_ = rows.select(F.concat(F.lit("p"), F.col("doc_id") % 500).alias("page_id"), F.coalesce("text", F.lit("")).alias("body"), F.col("doc_id").alias("mtime"))
+    held = {"table": G.kept(spark.createDataFrame([], "page_id string, body string, mtime long"))}
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        newest = held["table"].unionByName(batch).groupBy("page_id").agg(F.max_by("body", "mtime").alias("body"), F.max("mtime").alias("mtime"))
+        held["table"] = G.kept(newest)
+
+    run = I.index_stream(pages_, merge, f"{G.shared_folder(spark)}/folioscope-graph/stream-{uuid.uuid4().hex}").start()
+    run.awaitTermination()
+    return held["table"].select("page_id", F.sha2("body", 256).alias("sha256"))
 
 
 # --- further operators -------------------------------------------------------

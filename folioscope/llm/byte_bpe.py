@@ -10,7 +10,8 @@
 
 A word travels once per pack however often it occurs, so a word that fills the
 corpus is as cheap as any other. Packs are made again for step 3 rather than written;
-should a row then fall into another pack, its missing words are encoded there.
+should a row then fall into another pack, its missing words are encoded there, and the
+worker's log says so.
 
 Defined results: a null text is empty and has no tokens; a null id is kept; repeated
 rows are encoded each; an empty table gives an empty result; other columns are
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
@@ -31,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioscope.llm.common import partitions
-from folioscope.llm.packs import CELLS, NO_ID, cells, pack, pack_docs, unpack
+from folioscope.llm.packs import CELLS, NO_ID, cells, pack, pack_docs, release, tidy, unpack
 
 PACK_BYTES = 8 << 20
+log = logging.getLogger(__name__)
 
 
 @cache
@@ -66,16 +69,26 @@ def decode(ids: list[int], path: str) -> bytes:
 
 
 class Dictionary(dict):
-    """Ids of words; a word that is not there is encoded."""
+    """Ids of words; a word that is not there is encoded, and counted."""
 
     def __init__(self, path: str, pattern: str):
         self.encode = encoder(path, pattern).encode_ordinary
+        self.encoded = 0
 
     def __missing__(self, word: str) -> list[int]:
+        self.encoded += 1
         ids = self[word] = self.encode(word)
         return ids
 
 
+class Numbers(dict):
+    """Numbers of words, in the order in which they are met."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _dealt(words: Iterable[str], buckets: int) -> dict[int, list[str]]:
     out: dict[int, list[str]] = {}
     for w in words:
@@ -97,6 +110,8 @@ def _cells(split_by: str, buckets: int):
                 for text in unpack(payload.as_py())[1]:
                     words.update(split(text.decode()))
                 yield from cells(number, {k: pack(v) for k, v in _dealt(words, buckets).items()}).to_batches()
+                del words
+                release()
 
     return run
 
@@ -122,10 +137,9 @@ def _reassembled(path: str, pattern: str, buckets: int, with_ids: bool):
         answers = dict(zip(told.column("bucket").to_pylist(), told.column("payload"), strict=True))
         for payload in packs.column("payload"):
             ids, texts = unpack(payload.as_py())
-            number: dict[str, int] = {}
-            places = []  # of each text: the numbers of its words, in order
-            for text in texts:
-                places.append(array("I", [number.setdefault(w, len(number)) for w in split(text.decode())]))
+            number = Numbers()
+            places = [array("I", map(number.__getitem__, split(text.decode()))) for text in texts]  # of each text: its words in order
+            del texts
             ids_of = Dictionary(path, pattern)
             for k, words in _dealt(number, buckets).items():
                 if k in answers:
@@ -135,6 +149,8 @@ def _reassembled(path: str, pattern: str, buckets: int, with_ids: bool):
                         ends, flat = np.cumsum(sizes).tolist(), flat.tolist()
                         ids_of.update(zip(words, map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             found = [ids_of[w] for w in number]
+            if ids_of.encoded:
+                log.warning("a pack was made of other rows than before: %d of %d words are encoded again", ids_of.encoded, len(number))
             del ids_of, number
             said = [" ".join(map(str, x)) for x in found]
             raw = [decode(x, path) for x in found]
@@ -163,6 +179,6 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, p
     n = buckets or partitions(docs.sparkSession)
     packs = pack_docs(docs, pack_bytes, written=False)
     told = packs.mapInArrow(_cells(pattern, n), CELLS)
-    encoded = told.groupBy("bucket").applyInArrow(_encoded(path, pattern), CELLS)
+    encoded = told.groupBy("bucket").applyInArrow(tidy(_encoded(path, pattern)), CELLS)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return packs.groupBy("pack").cogroup(encoded.groupBy("pack")).applyInArrow(_reassembled(path, pattern, n, with_ids), schema)
+    return packs.groupBy("pack").cogroup(encoded.groupBy("pack")).applyInArrow(tidy(_reassembled(path, pattern, n, with_ids)), schema)

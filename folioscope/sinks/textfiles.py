@@ -22,6 +22,8 @@ class Files:
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path("").getFileSystem(self._conf)
+        if self._fs.getScheme() == "file":  # people edit these files, and checksums beside them would then be wrong
+            self._fs = self._fs.getRawFileSystem()
 
     def _path(self, name: str):
         path = self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)

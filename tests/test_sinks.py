@@ -72,7 +72,8 @@ def test_sidecars_write_touched_parts_only(spark, tmp_path):
     assert not list((tmp_path / "side").glob("shard=*"))
 
 
-def test_versions_are_undone_page_by_page(spark, tmp_path):
+def test_versions_are_undone_page_by_page(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Engine, "tables", lambda self, max_tokens=0: {"pages": self.parsed.drop("frontmatter")})
     store = D.Store(spark, str(tmp_path / "s"))
     e = lambda pages: Engine.from_frames(spark, frame(spark, pages))
     v = [e(p).build(store, f"t{k}") for k, p in enumerate([LINKED, LINKED | {"wiki/n.md": "# N\nnew"}, LINKED | {"wiki/n.md": "# N\nnew", "wiki/concepts/B.md": "# B\nedited"}])]
@@ -226,3 +227,28 @@ def test_claims_in_any_case(spark):
     many = spark.range(5000).select(F.lit("s").alias("subject"), F.lit("has").alias("predicate"), F.lit("k").alias("kind"), (F.col("id") % 2).cast("string").alias("value"), F.format_string("p%04d", "id").alias("page_id"), F.lit(1).alias("line_no"), F.lit("x").alias("excerpt"))
     row = Q.claim_conflicts(many).first()
     assert row["values"] == ["0", "1"] and [[q.page_id for q in v.places] for v in row.evidence] == [["p0000", "p0002", "p0004"], ["p0001", "p0003", "p0005"]]
+
+
+def test_command_line(spark, tmp_path):
+    import io
+
+    from folioscope.__main__ import main
+
+    def run(*argv):
+        out = io.StringIO()
+        return main(list(argv), spark, out, NOW), out.getvalue().splitlines()
+
+    root = str(tmp_path / "c")
+    assert run("scaffold", root, "T")[0] == 0 and run("scaffold", root, "T")[0] == 2
+    for k, v in LINKED.items():
+        f = tmp_path / "c" / k
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(v)
+    assert run("query", root, "nothing", "--format", "paths", "--rebuild-index", "--limit", "2") == (0, ["wiki/concepts/B.md", "wiki/concepts/C.md"])
+    assert run("check", root, "--full")[0] == 0
+    (tmp_path / "c/wiki/concepts/D.md").write_text("# D\n[x](/gone.md)\n")
+    code, lines = run("check", root, "--full")
+    assert code == 1 and "hard dead_link wiki/concepts/D.md:2 /gone.md" in lines and "soft orphan wiki/concepts/D.md: wiki/concepts/D.md" in lines
+    assert run("history", root)[1][0].split()[1] == "2024-02-01T09:30:00"
+    assert "- wiki/concepts/A.md" in run("scan", root, "--seed", "wiki/concepts/A.md")[1]
+    assert run("undo", root)[0] == 2 and run("audit", root)[1][0] == "# Feedback register"

@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folioscope.llm.common import WORD_BYTES, materialise, partitions
 
@@ -76,6 +77,12 @@ def bucket_count(packs: DataFrame, pack_bytes: int = PACK_BYTES) -> int:
     return max(partitions(packs.sparkSession), math.ceil(packs.count() * pack_bytes / BUCKET_BYTES))
 
 
+def bucket_count_of(texts: DataFrame, text: str) -> int:
+    """The same for packs that are not written: by the bytes of the texts."""
+    size = texts.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    return max(partitions(texts.sparkSession), math.ceil(size / BUCKET_BYTES))
+
+
 def slices(cells_of: list[np.ndarray], most: int, bits: int = 48) -> Iterator[list[tuple[int, int]]]:
     """Ranges (low, high) of each array of sorted hashes, for ranges of hashes of so many bits that hold about ``most`` in all."""
     total = sum(map(len, cells_of))
@@ -131,6 +138,45 @@ def pack_docs(docs: DataFrame, pack_bytes: int = PACK_BYTES, written: bool = Tru
     return materialise(packs, "packs") if written else packs
 
 
+def pack_rows(rows: DataFrame, text: str, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """(pack, payload, rest): packs of whole rows, which are not written.
+
+    A row's id is its number: that of its pack and its place there, so ids follow the order
+    of reading. ``rest`` holds the rows as Arrow data with the texts emptied. All uses of
+    these packs must be in one plan, whose scans read the same rows in the same tasks.
+    """
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 20
+        for batch in batches:
+            low, held = 0, 0
+            for k, size in enumerate([len(t.as_py() or "") for t in batch.column(at)], start=1):
+                held += size + 16
+                if held >= pack_bytes or k == len(batch) or k - low == 1 << ORDINAL_BITS:
+                    part = batch.slice(low, k - low)
+                    texts = [(t.as_py() or "").encode() for t in part.column(at)]
+                    columns = [pa.array([None if not t.is_valid else "" for t in c], c.type) if j == at else c for j, c in enumerate(part.columns)]
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema) as out:
+                        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=part.schema))
+                    ids = [(number << ORDINAL_BITS) + j for j in range(len(texts))]
+                    rest = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pack((ids, texts))], pa.binary()), pa.array([rest], pa.binary())], ["pack", "payload", "rest"])
+                    number, low, held = number + 1, k, 0
+        release()
+
+    return rows.mapInArrow(run, "pack long, payload binary, rest binary")
+
+
+def rows_of(rest: bytes, texts: list[str], at: int) -> pa.Table:
+    """The rows of a pack with these texts in place of theirs; a null text stays null if its new one is empty."""
+    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest)).read_all()
+    was = table.column(at)
+    column = pa.array([None if not t and not w.is_valid else t for t, w in zip(texts, was, strict=True)], was.type)
+    return table.set_column(at, table.field(at), column)
+
+
 def cells(pack_number: int, dealt: dict[int, bytes]) -> pa.Table:
     keys = sorted(dealt)
     return pa.table(

@@ -23,7 +23,8 @@ expanded into all pairs:
 2. each member of a group is compared with the best of its groups' first members:
    of those whose sizes and parity sketches (their differing bits are at most the
    differing tokens) leave 0.8 possible, that of the most shared signatures. The
-   comparison is exact; components follow;
+   comparison is exact; components follow. A row that this leaves apart from others of a
+   group is compared with its next best heads, a few, and components follow again;
 3. only groups whose members are still in different components give pairs, and only
    pairs of different components that sizes and sketches leave possible; they are
    compared exactly, and the components joined. A group is dealt to blocks of about
@@ -46,7 +47,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import materialise
@@ -55,6 +56,7 @@ from folioscope.llm.packs import LOW48, NO_ID, ORDINAL_BITS, PACK_BYTES, bucket_
 WORDS = 5
 SMALL = 64  # bands up to this size take the one-deletion allocation
 BLOCK = 512  # rows of a group or component that are compared with as many others in one task
+NEXT = 6  # further heads that a row is compared with before the pairs of its groups are
 BLOCK_TOKENS = 1 << 20  # tokens of a block, about
 SLICE = 1 << 19  # signatures of a bucket that are sorted at a time
 SKETCH_WORDS = 8  # parity sketches have 512 bits at least
@@ -420,6 +422,13 @@ def _links(packs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     return found.groupBy("uid").agg(F.sum("links").alias("links"))
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((gid, uid, root), (gid, number of rows) of the groups whose members are in different components)."""
+    told = members.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("gid", "uid", F.coalesce("root", "uid").alias("root"))
+    sizes = told.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"))
+    return told, sizes.where("lo != hi").select("gid", "c")
+
+
 def jaccard_join(docs: DataFrame, buckets: int | None = None, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other rows of 0.8 or more, equal sets included) of every row."""
     packs = pack_docs(docs, pack_bytes)
@@ -443,16 +452,27 @@ def jaccard_join(docs: DataFrame, buckets: int | None = None, pack_bytes: int =
     star = members.join(heads, "gid").where("uid != head").groupBy("uid", "head").agg(F.sum("weight").alias("w"))
     a, b = (profile.select(F.col("uid").alias(k), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for k, x in (("uid", "a"), ("head", "b")))
     star = star.join(a, "uid").join(b, "head").select("uid", "head", "w", "na", "sa", "nb", "sb").mapInArrow(_possible_pairs, "uid long, head long, w long")
+    star = materialise(star, "jaccard-star")
     best = star.groupBy("uid").agg(F.max(F.struct("w", -F.col("head"))).alias("m"))
-    best = materialise(best.select((-F.col("m.col2")).alias("a"), F.col("uid").alias("b")), "jaccard-best")
-    links = _linked(packs, best)
+    tried = materialise(best.select((-F.col("m.col2")).alias("a"), F.col("uid").alias("b")), "jaccard-best")
+    links = _linked(packs, tried)
     roots = components(links)
 
+    # Rows that their best head left apart: the next best ones, a few for each row.
+    told, mixed = _mixed(members, roots)
+    of = roots.select(F.col("node").alias("uid"), F.col("root").alias("r"))
+    left = star.join(told.join(mixed, "gid", "left_semi").select("uid").distinct(), "uid", "left_semi").join(of, "uid", "left")
+    left = left.join(of.select(F.col("uid").alias("head"), F.col("r").alias("q")), "head", "left").where(F.coalesce("r", "uid") != F.coalesce("q", "head"))
+    left = left.select(F.col("head").alias("a"), F.col("uid").alias("b"), "w").join(tried, ["a", "b"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("w"), "a"))
+    more = materialise(left.withColumn("nth", nth).where(F.col("nth") <= NEXT).select("a", "b"), "jaccard-next")
+    links = materialise(links.unionByName(_linked(packs, more)), "jaccard-star-links")
+    tried, roots = tried.unionByName(more), components(links)
+
     # What is still apart inside a group.
-    told = members.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("gid", "uid", F.coalesce("root", "uid").alias("root"))
-    mixed = told.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("gid", "c")
+    told, mixed = _mixed(members, roots)
     apart = _paired(told.join(mixed, "gid"), "gid", F.ceil(F.col("c") / BLOCK)).join(profile.select("uid", "n", "sketch"), "uid")
-    pairs = apart.groupBy("gid", "low", "high").applyInArrow(tidy(_left_pairs), "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
+    pairs = apart.groupBy("gid", "low", "high").applyInArrow(tidy(_left_pairs), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     links = materialise(links.unionByName(_linked(packs, pairs)), "jaccard-all-links")
     roots = components(links.unionByName(equal))
 

@@ -25,7 +25,7 @@ def tables(spark, tmp_path):
     return str(tmp_path), con
 
 
-@pytest.mark.parametrize("name", ["chunks"])
+@pytest.mark.parametrize("name", ["chunks", "index_totals"])
 def test_long_sections_as_in_sql(spark, tables, name):
     path, con = tables
     want = con.execute(X.ORACLES[name])

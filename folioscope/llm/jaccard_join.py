@@ -25,10 +25,12 @@ expanded into all pairs:
    differing tokens) leave 0.8 possible, that of the most shared signatures. The
    comparison is exact; components follow. A row that this leaves apart from others of a
    group is compared with its next best heads, a few, and components follow again;
-3. only groups whose members are still in different components give pairs, and only
-   pairs of different components that sizes and sketches leave possible; they are
-   compared exactly, and the components joined. A group is dealt to blocks of about
-   ``BLOCK`` rows, each two in a task of their own. No link between components is lost;
+3. in groups whose members are still in different components, sizes and sketches leave
+   some pairs of different components possible. Of these each task tells a spanning forest,
+   fewer edges than it has rows, never the pairs; the trees of all groups together then
+   hold all of them. The rows of a tree are compared exactly, and what links joins the
+   components, again as a forest. Groups and trees are dealt to blocks of about ``BLOCK``
+   rows, each two in a task of their own. No link between components is lost;
 4. links are counted inside components: the classes of one are dealt to blocks of about
    ``BLOCK``, each two blocks are compared exactly in a task of their own, and a link
    of two classes counts for each of their rows.
@@ -343,27 +345,31 @@ def _possible_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.filter(pa.array([possible(*r) for r in rows], pa.bool_())).select(["uid", "head", "w"])
 
 
-def _left_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of different components in two blocks of a group (or in one) that size and sketch leave possible."""
+def _left_forest(table: pa.Table) -> pa.Table:
+    """Of the pairs of different components in two blocks of a group (or in one) that size and sketch leave possible, a spanning forest: it holds every row of such a pair."""
     uid, root, n, block = (table.column(c).to_numpy() for c in ("uid", "root", "n", "block"))
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     order = np.argsort(n, kind="stable")
     sketches = table.column("sketch").to_pylist()
     uid, root, n, block, sketches = uid[order], root[order], n[order], block[order], [sketches[i] for i in order]
     bits = np.stack([fold(x, 8 * SKETCH_WORDS) for x in sketches])
-    found_a, found_b = [], []
+    tree, found = np.arange(len(uid)), []
     for i in range(len(uid) - 1):
-        end = np.searchsorted(n, n[i] * 5 // 4, "right")
-        rest = slice(i + 1, end)
-        apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1).astype(np.int64)
-        meets = (root[rest] != root[i]) & (9 * apart <= n[rest] + n[i])
+        rest = slice(i + 1, np.searchsorted(n, n[i] * 5 // 4, "right"))
+        meets = (root[rest] != root[i]) & (tree[rest] != tree[i])
         if low != high:
             meets &= block[rest] != block[i]
         hit = np.flatnonzero(meets) + i + 1
-        hit = np.array([j for j in hit.tolist() if possible(n[i], sketches[i], n[j], sketches[j])], np.int64)
-        found_a.append(np.minimum(uid[hit], uid[i]))
-        found_b.append(np.maximum(uid[hit], uid[i]))
-    return pa.table({"a": pa.array(np.concatenate([*found_a, np.zeros(0, np.int64)]), pa.int64()), "b": pa.array(np.concatenate([*found_b, np.zeros(0, np.int64)]), pa.int64())})
+        apart = np.bitwise_count(bits[hit] ^ bits[i]).sum(axis=1).astype(np.int64)
+        for j in hit[9 * apart <= n[hit] + n[i]].tolist():
+            if tree[j] != tree[i] and possible(n[i], sketches[i], n[j], sketches[j]):
+                tree[tree == tree[j]] = tree[i]
+                found.append((uid[i], uid[j]))
+    return _edges(found)
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([min(e) for e in found], pa.int64()), "b": pa.array([max(e) for e in found], pa.int64())})
 
 
 def _paired(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
@@ -409,6 +415,40 @@ def _count_links(table: pa.Table) -> pa.Table:
     return pa.table({"uid": np.concatenate([uid[a], uid[b]]), "links": np.concatenate([linked @ copies[b], copies[a] @ linked])})
 
 
+def _joining(table: pa.Table) -> pa.Table:
+    """Links that join the components which stand in two blocks of rows (or in one): of all links between different ones a spanning forest."""
+    uid, root, block = (table.column(c).to_numpy() for c in ("uid", "root", "block"))
+    tokens = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")]
+    a, b = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("low", "high"))
+    found: list[tuple[int, int]] = []
+    if len(a) and len(b):
+        both = _shared([tokens[i] for i in a], [tokens[i] for i in b])
+        sizes = np.array(list(map(len, tokens)), np.int64)
+        linked = 100 * both >= 80 * (sizes[a][:, None] + sizes[b][None, :] - both)
+        tree = root.copy()
+        for i, k in enumerate(a.tolist()):
+            for j in b[linked[i] & (tree[b] != tree[k])].tolist():
+                if tree[j] != tree[k]:
+                    tree[tree == tree[j]] = tree[k]
+                    found.append((uid[k], uid[j]))
+    return _edges(found)
+
+
+def _blocks() -> Column:
+    """Number of blocks of ``c`` rows with ``total`` tokens."""
+    return F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("total") / BLOCK_TOKENS))
+
+
+def _apart(packs: DataFrame, forest: DataFrame, roots: DataFrame, profile: DataFrame) -> DataFrame:
+    """(a, b): links that join all components between which there is a link among rows of one tree of ``forest``."""
+    of = roots.select(F.col("node").alias("uid"), "root")
+    rows = components(forest).select(F.col("node").alias("uid"), F.col("root").alias("tree")).join(of, "uid", "left").join(profile.select("uid", "n"), "uid")
+    sizes = rows.groupBy("tree").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
+    rows = materialise(rows.join(sizes, "tree").withColumn("root", F.coalesce("root", "uid")).drop("n"), "jaccard-apart")
+    held = _paired(rows.join(_fetch(packs, rows.select("uid")), "uid"), "tree", _blocks()).select("uid", "tree", "root", "block", "low", "high", "tokens")
+    return held.groupBy("tree", "low", "high").applyInArrow(tidy(_joining), "a long, b long")
+
+
 def _links(packs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """(uid, links) of every class's root: rows of other classes that it links with; ``classes`` has root, copies and n."""
     of = roots.select(F.col("node").alias("uid"), F.col("root").alias("component"))
@@ -416,8 +456,7 @@ def _links(packs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     sizes = inside.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1")
     inside = materialise(inside.join(sizes, "component").drop("n"), "jaccard-inside")
     held = inside.join(_fetch(packs, inside.select("uid")), "uid")
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("total") / BLOCK_TOKENS))
-    held = _paired(held, "component", blocks).select("uid", "component", "copies", "block", "low", "high", "tokens")
+    held = _paired(held, "component", _blocks()).select("uid", "component", "copies", "block", "low", "high", "tokens")
     found = held.groupBy("component", "low", "high").applyInArrow(tidy(_count_links), "uid long, links long")
     return found.groupBy("uid").agg(F.sum("links").alias("links"))
 
@@ -467,13 +506,14 @@ def jaccard_join(docs: DataFrame, buckets: int | None = None, pack_bytes: int =
     nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("w"), "a"))
     more = materialise(left.withColumn("nth", nth).where(F.col("nth") <= NEXT).select("a", "b"), "jaccard-next")
     links = materialise(links.unionByName(_linked(packs, more)), "jaccard-star-links")
-    tried, roots = tried.unionByName(more), components(links)
+    roots = components(links)
 
     # What is still apart inside a group.
     told, mixed = _mixed(members, roots)
     apart = _paired(told.join(mixed, "gid"), "gid", F.ceil(F.col("c") / BLOCK)).join(profile.select("uid", "n", "sketch"), "uid")
-    pairs = apart.groupBy("gid", "low", "high").applyInArrow(tidy(_left_pairs), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    links = materialise(links.unionByName(_linked(packs, pairs)), "jaccard-all-links")
+    forest = apart.groupBy("gid", "low", "high").applyInArrow(tidy(_left_forest), "a long, b long").distinct()
+    forest = materialise(forest, "jaccard-forest")
+    links = materialise(links.unionByName(_apart(packs, forest, roots, profile)), "jaccard-all-links")
     roots = components(links.unionByName(equal))
 
     counted = classes.join(_links(packs, classes, roots).withColumnRenamed("uid", "root"), "root", "left")
